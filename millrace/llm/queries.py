@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, toxicity
+from . import chat, html, mixing, pieces, quality, toxicity, urls
 from .common import table
 
 MIX_SEED = 20
+PIECE_SEED = 10
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +38,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(table(spark, sf_dir, "documents"), seed=PIECE_SEED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_quality_rules, op7_toxicity, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op7_toxicity, op9_chat_formatting, op10_sentencepiece)}
 
 
 OP4 = f"""
