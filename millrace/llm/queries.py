@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, mixing, pieces, quality, toxicity, urls
+from . import chat, embeddings, html, mixing, pieces, quality, toxicity, urls
 from .common import table
 
 MIX_SEED = 20
 PIECE_SEED = 10
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -43,8 +47,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op7_toxicity, op9_chat_formatting, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op7_toxicity, op9_chat_formatting, op10_sentencepiece)}
+
 
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = e.vec_id AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
 
 OP4 = f"""
 WITH per AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -90,4 +108,4 @@ FROM w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op9_chat_formatting": OP9}
+    return {"op1_embedding_near_dedup": OP1, "op4_mixing": OP4, "op9_chat_formatting": OP9}
