@@ -145,73 +145,6 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return Model(weights, bias)
 
 
-def score(self, slots: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[slots].sum(dtype=np.float64), -30, 30))))
-
-
-def held_out(key):
-    """Whether a document is held out: crc32 of its id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-
-
-def fit(slots: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, *, alpha: float = 1.0, l2: float = 2e-3, rounds: int = 150) -> Model:
-    """Logistic regression by accelerated gradient steps on log-count-ratio features; the same rows give the same model."""
-    if not slots or toxic.min() == toxic.max():
-        return Model(np.zeros(SLOTS, np.float32), -10.0 if not slots or not toxic.any() else 10.0)
-    rows = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-    flat = np.concatenate(slots)
-    counts = [np.bincount(flat, weights=(weight * (toxic == y))[rows], minlength=SLOTS) + alpha for y in (1, 0)]
-    mass = [(weight * (toxic == y)).sum() + 2 * alpha for y in (1, 0)]  # of documents: a text counts once for a slot
-    ratio = np.log(counts[0] / mass[0]) - np.log(counts[1] / mass[1])
-    used, at = np.unique(flat, return_inverse=True)
-    r = ratio[used]
-    x = r[at]
-    norm = np.sqrt(np.median(np.bincount(rows, weights=x * x, minlength=len(slots))) + 1e-9)
-    x = x / norm
-    y, w = toxic.astype(float), weight / weight.sum()
-    step = 1.0 / (0.25 * (w * np.bincount(rows, weights=x * x, minlength=len(slots))).sum() + l2)
-    b = look_b = float(np.log(max(1e-6, (w * y).sum()) / max(1e-6, (w * (1 - y)).sum())))
-    v = look_v = np.zeros(len(used))
-    for k in range(rounds):
-        z = look_b + np.bincount(rows, weights=x * look_v[at], minlength=len(slots))
-        g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        new_v = look_v - step * (np.bincount(at, weights=x * g[rows], minlength=len(used)) + l2 * look_v)
-        new_b = look_b - step * g.sum()
-        m = k / (k + 3)
-        look_v, look_b, v, b = new_v + m * (new_v - v), new_b + m * (new_b - b), new_v, new_b
-    out = np.zeros(SLOTS, np.float32)
-    out[used] = v * r / norm
-    return Model(out, float(b))
-
-
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: dict[int, int] | None = None) -> Model:
-    """Fit on labelled rows that are not held out.
-
-    Where a class has more rows than ``sample`` allows, those least in hash order are taken and
-    weighted up to the class's size. Documents labelled both ways or with a null label are left out.
-    """
-    limits = sample or SAMPLE
-    known = labels.filter(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("most")).filter("y = most and doc_id is not null").drop("most")
-    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    order = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    cut = F.lit(0)
-    for y, n in sizes.items():
-        cut = F.when(F.col("y") == y, F.lit(int((1 << 30) * min(1.0, limits[y] / n)))).otherwise(cut)
-    chosen = known.filter(order < cut)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # bounded by the sample
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(SLOTS, bool)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "slots": [features(t, seen).astype(np.uint32).tobytes() for t in batch["text"]]})
-
-    got = sorted((r["doc_id"], r["y"], bytes(r["slots"])) for r in rows.mapInPandas(run, "doc_id long, y int, slots binary").collect())
-    y = np.array([g[1] for g in got], dtype=np.int64)
-    weight = np.array([sizes[k] / max(1, (y == k).sum()) for k in y], dtype=float)
-    return fit([np.frombuffer(g[2], np.uint32).astype(np.int64) for g in got], y, weight)
-
-
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; a null text scores as an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast((zlib.compress(model.weights.tobytes(), 1), model.bias))
