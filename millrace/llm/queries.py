@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, html, jaccard, mixing, pieces, quality, toxicity, urls
+from . import chat, embeddings, html, jaccard, mixing, pieces, quality, suffixes, toxicity, urls
 from .common import table
 
 MIX_SEED = 20
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.long_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op7_toxicity, op8_ngram_jaccard_join, op9_chat_formatting, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op6_suffix_array_dedup, op7_toxicity, op8_ngram_jaccard_join, op9_chat_formatting, op10_sentencepiece)}
 
 
 OP1 = """
