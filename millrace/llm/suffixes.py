@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fan_out, written
+from .common import fan_out, released, written
 from .runindex import END, RunIndex
 
 ANCHOR = 24
@@ -100,10 +100,16 @@ def repeated_windows(index_rows: list[tuple[int, bytes, int]], window: int) -> l
     return [(index_rows[r[0]][0], p.tolist()) for r, p in zip(np.split(row, cuts), np.split(place, cuts), strict=True) if len(r)]
 
 
+def classed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with t1 and t2, 128 bits that stand for the text."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
+
+
 def marks(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, twin, starts and counts: the runs of windows of each document that start in a smaller one as well.
+    """t1, t2, least, starts and counts: of each text that has any, the runs of windows that start in a smaller document as well.
 
-    docs: doc_id, text. ``twin``: a hash of the text, which tells rows of the same id apart.
+    docs: doc_id, text, t1, t2. Rows of one text are a class; its row of the smallest id, ``least``, stands for it. Runs
+    are null where only copies of the text share its windows.
     """
     spark = docs.sparkSession
 
@@ -112,15 +118,20 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
             for at in range(0, len(batch), 256):
                 some = [np.unique(anchors(encoded(t.as_py()), window)[0]) for t in batch.column("text")[at : at + 256]]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at : at + 256], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(some)))], names=["doc_id", "hs"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[at : at + 256] for c in ("doc_id", "t1", "t2")], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(some)))], names=["doc_id", "t1", "t2", "hs"])
 
-    tokens = docs.mapInArrow(listed, "doc_id long, hs array<long>").select("doc_id", F.explode("hs").alias("h"))
+    ids = written(docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
+    rows = docs.select("doc_id", "t1", "t2", "text").mapInArrow(listed, "doc_id long, t1 long, t2 long, hs array<long>")
+    firsts = ids.select("t1", "t2", F.col("least").alias("doc_id"))
+    reps = written(rows.filter(F.size("hs") > 0).join(firsts, ["t1", "t2", "doc_id"], "left_semi"), "anchors")
+    tokens = reps.select("t1", "t2", F.explode("hs").alias("h"))
     often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    wanted = written(tokens.join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs")), "anchors")
+    wanted = written(tokens.join(often, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs")), "wanted")
+    released(reps)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, twins = batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist()
+            ids, one, two = (batch.column(x).to_pylist() for x in ("doc_id", "t1", "t2"))
             hs = batch.column("hs")
             for k in range(len(batch)):
                 text = encoded(batch.column("text")[k].as_py())
@@ -131,11 +142,12 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
                     sizes = stop[on] - first[on]
                     segs = [text[a:b] for a, b in zip(first[on].tolist(), (stop[on] + window - 1).tolist(), strict=True)]
                     n = len(on)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * n, pa.int64()), pa.array([twins[k]] * n, pa.int64()), pa.array(first[on].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h[on]), pa.array(segs, pa.binary())], names=["doc_id", "twin", "start", "windows", "h", "seg"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array([x[k]] * n, pa.int64()) for x in (ids, one, two)], pa.array(first[on].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h[on]), pa.array(segs, pa.binary())], names=["doc_id", "t1", "t2", "start", "windows", "h", "seg"])
 
-    texts = docs.withColumn("twin", F.xxhash64("text"))
-    found = texts.join(wanted, "doc_id").select("doc_id", "twin", "text", "hs").mapInArrow(cut, "doc_id long, twin long, start int, windows int, h long, seg binary")
+    asked = docs.join(firsts.join(wanted, ["t1", "t2"]), ["t1", "t2", "doc_id"])
+    found = asked.select("doc_id", "t1", "t2", "text", "hs").mapInArrow(cut, "doc_id long, t1 long, t2 long, start int, windows int, h long, seg binary")
     found = written(found.withColumn("s", F.xxhash64("seg")), "segments")
+    released(wanted)
     distinct = written(found.groupBy("h", "s").agg(F.first("seg").alias("seg"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
     crowds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = distinct.join(crowds, "h")
@@ -173,12 +185,18 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     by_window = lone.join(lowest, "w").filter("lowest < least").groupBy("h", "s").agg(F.collect_list("i").alias("extra"))
     extra = by_index.union(by_window)
     known = distinct.filter("most > least").select("h", "s", "least").join(extra, ["h", "s"], "full").select("h", "s", "least", "extra")
-    own = found.select("doc_id", "twin", "start", "windows", "h", "s").join(known, ["h", "s"])
     # A copy in a larger document goes as a whole; the least document's own segment where another has a smaller document.
+    known = written(known, "known")
+    released(distinct)
+    own = found.select("doc_id", "t1", "t2", "start", "windows", "h", "s").join(known, ["h", "s"])
     whole = F.col("doc_id") > F.col("least")
     run = F.struct(F.col("start").alias("start"), F.col("windows").alias("n"))
     runs = F.when(F.coalesce(whole, F.lit(False)), F.array(run)).otherwise(F.transform(F.coalesce("extra", F.array().cast("array<int>")), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n"))))
-    return own.select("doc_id", "twin", F.explode(runs).alias("r")).groupBy("doc_id", "twin").agg(F.collect_list("r.start").alias("starts"), F.collect_list("r.n").alias("counts"))
+    # Rows that share id and text give the same runs twice, which is one run.
+    by_text = own.select("t1", "t2", F.explode(runs).alias("r")).groupBy("t1", "t2").agg(F.collect_set("r").alias("rs")).select("t1", "t2", F.col("rs.start").alias("starts"), F.col("rs.n").alias("counts"))
+    out = written(ids.join(by_text, ["t1", "t2"], "left").filter("most > least or starts is not null").select("t1", "t2", "least", "starts", "counts"), "marks")
+    released(ids, found, known)
+    return out
 
 
 def removed(text: bytes, starts: list[int], counts: list[int], window: int) -> np.ndarray:
@@ -190,10 +208,21 @@ def removed(text: bytes, starts: list[int], counts: list[int], window: int) -> n
     return np.stack([np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1)], axis=1)
 
 
-def with_marks(docs: DataFrame, window: int) -> DataFrame:
-    twin = docs.withColumn("twin", F.xxhash64("text"))
-    found = written(marks(docs.filter("doc_id is not null").select("doc_id", "text"), window), "marks")
-    return twin.join(found, ["doc_id", "twin"], "left")
+def spans_of(data: bytes, whole: bool, starts: list[int] | None, counts: list[int] | None, window: int) -> np.ndarray:
+    """The runs of bytes of a row that go: all, if the whole text stands in a smaller document and holds a window."""
+    if whole and len(data) >= window:
+        return np.array([[0, len(data)]])
+    return removed(data, starts, counts, window) if starts is not None else np.zeros((0, 2), np.int64)
+
+
+def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
+    cuts = [0, *spans.ravel().tolist(), len(data)]
+    return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def verdict(doc_id: Column, least: Column, starts: Column, counts: Column) -> list[Column]:
+    """What a row takes from its text's marks: a copy goes as a whole, the first row by its runs; a null id by neither."""
+    return [F.coalesce(doc_id > least, F.lit(False)).alias("whole"), F.when(doc_id == least, starts).alias("starts"), F.when(doc_id == least, counts).alias("counts")]
 
 
 def long_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -203,19 +232,22 @@ def long_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     one place in the order and remove nothing from each other. An empty table gives an empty one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            whole = batch.column("whole").to_pylist()
             out = []
-            for t, starts, counts in zip(batch["text"], batch["starts"], batch["counts"], strict=True):
-                data = encoded(t)
-                spans = removed(data, starts, counts, window) if starts is not None else np.zeros((0, 2), np.int64)
-                cuts = [0, *spans.ravel().tolist(), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+            for k, t in enumerate(batch.column("text")):
+                data = encoded(t.as_py())
+                spans = spans_of(data, whole[k], batch.column("starts")[k].as_py(), batch.column("counts")[k].as_py(), window)
+                kept = kept_bytes(data, spans)
                 out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            yield pd.concat([batch[["doc_id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"], index=batch.index)], axis=1)
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return with_marks(plain, window).select("doc_id", "text", "starts", "counts").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    plain = classed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    found = marks(plain.filter("doc_id is not null and text is not null"), window)
+    joined = plain.join(found, ["t1", "t2"], "left").select("doc_id", "text", *verdict(F.col("doc_id"), F.col("least"), F.col("starts"), F.col("counts")))
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -225,18 +257,18 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
 
     @F.pandas_udf("string")
-    def left(texts: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
+    def left(texts: pd.Series, whole: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
         out = []
-        for t, s, n in zip(texts, starts, counts, strict=True):
-            if s is None or t is None:
+        for t, w, s, n in zip(texts, whole, starts, counts, strict=True):
+            if t is None:
                 out.append(t)
                 continue
             data = encoded(t)
-            cuts = [0, *removed(data, s, n, window).ravel().tolist(), len(data)]
-            out.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode("utf-8", "ignore"))
+            out.append(kept_bytes(data, spans_of(data, w, s, n, window)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = written(marks(plain.filter("doc_id is not null"), window), "marks").select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin"), F.col("starts").alias("__starts"), F.col("counts").alias("__counts"))
-    joined = docs.join(found, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__twin")), "left")
-    return joined.select(*[left(F.col(text).cast("string"), "__starts", "__counts").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    plain = classed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    found = marks(plain.filter("doc_id is not null and text is not null"), window).select(*[F.col(c).alias(f"__{c}") for c in ("t1", "t2", "least", "starts", "counts")])
+    body = F.col(text).cast("string")
+    joined = docs.join(found, (F.xxhash64(body) == F.col("__t1")) & (F.xxhash64(F.lit(7), body) == F.col("__t2")), "left")
+    return joined.select(*[left(body, *verdict(F.col(key).cast("long"), F.col("__least"), F.col("__starts"), F.col("__counts"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
