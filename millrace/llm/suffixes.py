@@ -131,26 +131,46 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, one, two = (batch.column(x).to_pylist() for x in ("doc_id", "t1", "t2"))
-            hs = batch.column("hs")
-            for k in range(len(batch)):
-                text = encoded(batch.column("text")[k].as_py())
-                h, first = anchors(text, window)
-                stop = np.append(first[1:], max(0, len(text) - window + 1))
-                on = np.flatnonzero(np.isin(h, hs[k].values.to_numpy()))
-                if len(on):
-                    sizes = stop[on] - first[on]
-                    segs = [text[a:b] for a, b in zip(first[on].tolist(), (stop[on] + window - 1).tolist(), strict=True)]
-                    n = len(on)
-                    yield pa.RecordBatch.from_arrays([*[pa.array([x[k]] * n, pa.int64()) for x in (ids, one, two)], pa.array(first[on].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h[on]), pa.array(segs, pa.binary())], names=["doc_id", "t1", "t2", "start", "windows", "h", "seg"])
+            for at in range(0, len(batch), 64):
+                some = batch.slice(at, 64)
+                rows, first, sizes, own, data = [], [], [], [], []
+                base = 0
+                for k in range(len(some)):
+                    text = encoded(some.column("text")[k].as_py())
+                    h, new = anchors(text, window)
+                    on = np.flatnonzero(np.isin(h, some.column("hs")[k].values.to_numpy()))
+                    stop = np.append(new[1:], max(0, len(text) - window + 1))
+                    rows.append(np.full(len(on), k))
+                    first.append(new[on])
+                    sizes.append(stop[on] - new[on])
+                    own.append((h[on], new[on] + base))
+                    data.append(text)
+                    base += len(text)
+                rows, first, sizes = np.concatenate(rows), np.concatenate(first), np.concatenate(sizes)
+                h, begin = (np.concatenate([x[i] for x in own]) for i in range(2))
+                length = sizes + window - 1
+                ends = np.cumsum(length)
+                # The bytes of all segments, end to end.
+                step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+                if len(ends):
+                    step[0] = begin[0]
+                    step[ends[:-1]] = begin[1:] - (begin[:-1] + length[:-1] - 1)
+                raw = np.frombuffer(b"".join(data), np.uint8)[np.cumsum(step)]
+                segs = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw)])
+                ids = [some.column(c).take(pa.array(rows)) for c in ("doc_id", "t1", "t2")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(first.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h), segs], names=["doc_id", "t1", "t2", "start", "windows", "h", "seg"])
 
     asked = docs.join(firsts.join(wanted, ["t1", "t2"]), ["t1", "t2", "doc_id"])
     found = asked.select("doc_id", "t1", "t2", "text", "hs").mapInArrow(cut, "doc_id long, t1 long, t2 long, start int, windows int, h long, seg binary")
     found = written(found.withColumn("s", F.xxhash64("seg")), "segments")
     released(wanted)
-    distinct = written(found.groupBy("h", "s").agg(F.first("seg").alias("seg"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
+    # Alike segments as one: the least document, where it has the segment, and the largest document.
+    first = F.min(F.struct("doc_id", "start"))
+    distinct = found.groupBy("h", "s").agg(first.alias("at"), F.max("doc_id").alias("most")).select("h", "s", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start"), "most")
+    distinct = written(distinct, "distinct")
     crowds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    several = distinct.join(crowds, "h")
+    places = distinct.join(crowds, "h").select("h", "s", F.col("least").alias("doc_id"), "start", "m")
+    several = found.select("h", "s", "doc_id", "start", "seg").join(places, ["h", "s", "doc_id", "start"]).withColumnRenamed("doc_id", "least")
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame) -> pd.DataFrame:
