@@ -1 +1,6 @@
-"""Plans of the millrace analytics library."""
+"""Queries of the millrace analytics library."""
+
+from . import relational, retrieval
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational", "retrieval"]

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a lookup table, by the optimizer's estimate, up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,3 +29,44 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; very large where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is estimated small, else as it is, for a shuffled join."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def running(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the running total of ``value`` in a global order.
+
+    Rows are range-partitioned by ``order`` and summed within partitions; the totals of the partitions before (one
+    number for each) are added by a broadcast join. No task sees more than its range. Ties in ``order`` are broken
+    by nothing: make it unique where the total of each row matters.
+    """
+    from pyspark.sql import Window as W
+
+    dealt = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__id": F.monotonically_increasing_id(), "__value": value}))
+    placed = dealt.withColumn("__part", F.shiftright("__id", 33))
+    sums = placed.groupBy("__part").agg(F.sum("__value").alias("__sum"))  # a row for each partition
+    before = sums.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum("__value").over(W.partitionBy("__part").orderBy("__id").rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__id", "__value", "__part", "__own", "__before")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place, from 0, in a global order."""
+    return running(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
