@@ -3,7 +3,7 @@
 Filter directions are products of random codes: the (randomly turned) space is cut into blocks, each
 block has random unit vectors, and a direction takes one from each. Because scores add up over blocks,
 the directions that a vector exceeds its threshold at are list-decoded from the best codes of each block,
-without looking at the others. Vectors that share a direction meet in a bucket and are verified there by
+without looking at the others. The number of independent code books follows the recall measured for the table's size. Vectors that share a direction meet in a bucket and are verified there by
 their cosine in double precision. Exact copies are one class from the start and are never paired.
 """
 
@@ -20,32 +20,40 @@ from pyspark.sql import functions as F
 from .common import fan_out, written
 from .graph import components
 
-#: Directions that a vector is kept at: its threshold is its score at the last of them. In simulations with 64
-#: dimensions pairs of cosine 0.95 shared 9 of 20 on average, and over 99.7 % of the pairs at least one.
+#: Directions of one code book that a vector is kept at: its threshold there is its score at the last of them.
 LIST = 20
+#: Share of the pairs just at the cosine to be found that may share no direction, by the measured recall of one book.
+MISSED = 1e-4
+#: Pairs that recall is measured on, and scores of a block held at a time.
+TRIALS, SCORES = 2000, 1 << 21
 #: Buckets of more vectors than this are verified in blocks of pairs of parts, each a task's work of its own.
 BLOCK = 512
 
 
 class Filters:
-    """Structured random product codes for vectors of some dimension; the same arguments give the same codes."""
-
-    def __init__(self, dim: int, vectors: int, seed: int = 11) -> None:
-        # About eight directions a vector keep the buckets' sizes the same at any size of the table.
-        wanted = max(4096, 8 * vectors)
-        self.blocks = min(dim, 2 if wanted <= 4096**2 else 4)
-        self.codes = int(np.ceil(wanted ** (1 / self.blocks)))
-        rng = np.random.default_rng([seed, dim])
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    """Structured random product codes of two blocks, in independent books; the same arguments give the same codes."""
+
+    def __init__(self, dim: int, codes: int, books: int = 1, seed: int = 11) -> None:
+        self.blocks, self.codes, self.books = min(dim, 2), codes, []
         self.cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
-        self.book = [c / np.linalg.norm(c, axis=1, keepdims=True) for c in (rng.standard_normal((self.codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False))]
+        for n in range(books):
+            rng = np.random.default_rng([seed, dim, n])
+            turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            self.books.append((turn, [c / np.linalg.norm(c, axis=1, keepdims=True) for c in (rng.standard_normal((codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False))]))
 
     def decode(self, x: np.ndarray, size: int = LIST) -> np.ndarray:
-        """Directions (rows of numbers, ascending) that each vector scores highest at."""
-        turned = x @ self.turn
+        """Directions (rows of numbers, ascending) that each vector scores highest at in each book."""
+        step = max(1, SCORES // max(self.codes, size * size))
+        parts = [self.listed(x[i : i + step], n, size) for i in range(0, len(x), step) for n in range(len(self.books))]
+        rows = [np.concatenate(parts[i : i + len(self.books)], axis=1) for i in range(0, len(parts), len(self.books))]
+        return np.sort(np.concatenate(rows), axis=1)
+
+    def listed(self, x: np.ndarray, n: int, size: int) -> np.ndarray:
+        turn, book = self.books[n]
+        turned = x @ turn
         ids = score = None
-        for book, lo, hi in zip(self.book, self.cuts, self.cuts[1:], strict=False):
-            s = turned[:, lo:hi] @ book.T
+        for codes, lo, hi in zip(book, self.cuts, self.cuts[1:], strict=False):
+            s = turned[:, lo:hi] @ codes.T
             k = min(size, s.shape[1])
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             best = np.take_along_axis(s, top, axis=1)
@@ -57,7 +65,33 @@ class Filters:
             if score.shape[1] > size:
                 keep = np.argpartition(-score, size - 1, axis=1)[:, :size]
                 score, ids = np.take_along_axis(score, keep, axis=1), np.take_along_axis(ids, keep, axis=1)
-        return np.sort(ids, axis=1)
+        return ids + n * self.codes**self.blocks
+
+
+def fitted(dim: int, vectors: int, threshold: float) -> tuple[int, int]:
+    """Codes a block and independent books for so many vectors of a dimension.
+
+    About eight directions a vector keep the buckets' sizes the same at any size of the table. Recall of one book
+    falls slowly with the number of codes: it is measured on random pairs just at the threshold, and books are added
+    until what all of them miss is ``MISSED``. Where one book finds little (few dimensions), codes are made fewer.
+    """
+    if dim < 2:  # both signs
+        return 2, 1
+    rng = np.random.default_rng([7, dim])
+    x, z = rng.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    low = max(-1.0, min(1.0, threshold))
+    y = low * x + np.sqrt(1 - low * low) * z
+    codes = int(np.ceil(max(4096, 8 * vectors) ** 0.5))
+    while True:
+        one = Filters(dim, codes)
+        missed = sum(not np.intersect1d(a, b).size for a, b in zip(one.decode(x), one.decode(y), strict=True))
+        share = (missed + 1) / (TRIALS + 1)
+        if codes <= 4 or share < 0.1:  # four codes a block: all directions are kept
+            return codes, 1 if codes <= 4 else int(np.ceil(np.log(MISSED) / np.log(share)))
+        codes = max(4, codes // 2)
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -130,7 +164,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = written(rows.withColumn("v", F.when(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.col("v"))), "vectors")
     classes = written(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    many = classes.count()
+    plans = {r["dim"]: fitted(r["dim"], r["n"], threshold) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         codes: dict[int, Filters] = {}
@@ -140,7 +174,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 if dim not in codes:
-                    codes[dim] = Filters(int(dim), many)
+                    codes[dim] = Filters(int(dim), *plans[int(dim)])
                 x = np.stack([flat[i] for i in at])
                 # Scaling by the largest component keeps squares within range.
                 x = x / np.abs(x).max(axis=1, keepdims=True)
