@@ -1,20 +1,22 @@
 """Quality rules whose cutoffs are set by risk control.
 
 Base rules drop texts that are too short or repeat themselves. Beyond them, cutoffs on four
-ratios are chosen per stratum (language): a labelled holdout counts how many good documents a
-cutoff would reject, the exact (Clopper-Pearson) binomial bound turns the count into an upper
-bound on the false-rejection rate, and the tightest cutoff whose bound stays within the limit
-is taken. Bonferroni's correction over strata, ratios and cutoffs makes all bounds hold at once.
+ratios are chosen per stratum (language). They are tightened together along one fixed path: a
+labelled holdout counts how many good documents each step would reject, the exact
+(Clopper-Pearson) binomial bound turns the count into an upper bound on the false-rejection
+rate, and the last step before the first whose bound exceeds the limit is taken. Steps tested in
+a fixed sequence need no correction; Bonferroni's over strata makes all bounds hold at once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, written
@@ -27,6 +29,9 @@ GRID = {
     "repeat_ratio": [round(0.02 * i, 4) for i in range(1, 26)],
     "long_words": [round(5.0 + 0.5 * i, 4) for i in range(30)],
 }
+#: Joint cutoffs, each step at least as strict as the one before in every ratio.
+STEPS = 40
+PATH = [{m: grid[round((len(grid) - 1) * (STEPS - i) / STEPS)] for m, grid in GRID.items()} for i in range(STEPS + 1)]
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -102,28 +107,29 @@ def upper_bound(rejected: int, of: int, risk: float) -> float:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", limit: float = 0.02, risk: float = 0.05) -> DataFrame:
-    """Per stratum (null: its own) the chosen cutoff of each ratio, null where none is safe enough.
+    """Per stratum (null: its own) the chosen cutoff of each ratio, null where not even the mildest step is safe enough.
 
-    ``limit`` bounds the false-rejection rate of a stratum, shared evenly by the ratios; ``risk`` is
-    the probability that any of all bounds fails. Good documents that base rules reject take no part.
+    ``limit`` bounds the false-rejection rate of a stratum by all ratios together; ``risk`` is
+    the probability that any stratum's bound fails. Good documents that base rules reject take no part.
     Labels are counted once a document; a document labelled both ways counts as good.
     """
     good = labels.filter(F.col(label) == 1).select(F.col(key).cast("long").alias("doc_id")).distinct()
     held = scored.filter("not base_failed").join(good, "doc_id", "left_semi")
-    counts = [F.array(*[F.sum((F.col(m) > F.lit(c)).cast("long")) for c in grid]).alias(m) for m, grid in GRID.items()]
+    steps = [functools.reduce(Column.__or__, [F.col(m) > F.lit(c) for m, c in step.items()]) for step in PATH]
+    counts = F.array(*[F.sum(over.cast("long")) for over in steps]).alias("rejected")
     # The count of strata is needed for the correction; a row per stratum.
-    table = written(held.groupBy("lang").agg(F.count(F.lit(1)).alias("n_good"), *counts), "holdout")
-    tests = max(1, table.count()) * sum(map(len, GRID.values()))
-    each, share = risk / tests, limit / len(GRID)
+    table = written(held.groupBy("lang").agg(F.count(F.lit(1)).alias("n_good"), counts), "holdout")
+    each = risk / max(1, table.count())
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                picked = {}
-                for m, grid in GRID.items():
-                    safe = [c for c, n in zip(grid, getattr(row, m), strict=True) if n <= share * row.n_good and upper_bound(int(n), int(row.n_good), each) <= share]
-                    picked[m] = min(safe, default=None)
+                picked = dict.fromkeys(GRID)
+                for step, n in zip(PATH, row.rejected, strict=True):
+                    if upper_bound(int(n), int(row.n_good), each) > limit:
+                        break
+                    picked = step
                 rows.append({"stratum": row.lang, **{f"max_{m}": picked[m] for m in GRID}})
             yield pd.DataFrame(rows, columns=["stratum", *[f"max_{m}" for m in GRID]]).astype({f"max_{m}": "float64" for m in GRID})
 
