@@ -10,29 +10,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turns that one row may hold: longer dialogues continue in further parts, so that no group is unbounded.
+from ..session import if_small, ranked
+from .common import written
+
+#: Turns that one row may hold besides carried system turns: longer dialogues continue in further parts, so that no group is unbounded.
 PART_TURNS = 1024
 
 
+def parts_of(rows: DataFrame, message: Column, system: str, part_turns: int) -> DataFrame:
+    """conv_id, part, ms and speaker of long conversations, dealt by the place of each row."""
+    # The last key parts rows that are alike, so that even these are dealt to several tasks.
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("__tie")]
+    placed = written(ranked(rows.withColumn("__tie", F.monotonically_increasing_id()), order).drop("__tie"), "placed")
+    starts = written(placed.groupBy(F.col("conv_id").alias("id")).agg(F.min("position").alias("start")), "starts")
+    same = F.col("conv_id").eqNullSafe(F.col("id"))
+    dealt = placed.join(if_small(starts), same).select("conv_id", F.floor((F.col("position") - F.col("start")) / F.lit(part_turns)).cast("long").alias("part"), "role", message)
+    dealt = written(dealt, "dealt")
+    own = dealt.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("m")).alias("own"))
+    told = written(dealt.filter(F.col("role") == system).groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("part", "m"))).alias("told")), "told")
+    before = F.transform(F.filter("told", lambda t: t["part"] < F.col("part")), lambda t: t["m"])
+    whole = own.join(if_small(told), same, "left").select("conv_id", "part", F.when(F.col("told").isNull(), F.col("own")).otherwise(F.concat(before, "own")).alias("ms"))
+    who = written(dealt.filter(F.col("role") != system).select(F.col("conv_id").alias("id"), F.col("role").alias("speaker")).distinct(), "speakers")
+    return whole.join(if_small(who), same).select("conv_id", "part", "ms", "speaker")
+
+
 def perspectives(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system", part_turns: int = PART_TURNS) -> DataFrame:
     """A row for each conversation, part and speaker.
 
-    Columns: conv_id, part (turn number over ``part_turns``; null turns count as part 0 and come
-    first), speaker, n_messages, n_trained, rendered, mask (array of 0 and 1 per message) and spans
+    Columns: conv_id, part (place of the turn in its conversation over ``part_turns``, so that 0 is all of a shorter
+    one), speaker, n_messages, n_trained, rendered, mask (array of 0 and 1 per message) and spans
     ("begin-end" of each trained content in code points of ``rendered``, joined by commas, end
-    exclusive). Null roles are a speaker named "unknown", null texts are empty. Turns with the same number
-    keep the order of role, then text; repeated rows all stay. Speakers are those of the part.
+    exclusive). Null turns come first. Null roles are a speaker named "unknown", null texts are empty. Turns with
+    the same number keep the order of role, then text; repeated rows all stay. Every speaker of the conversation has
+    a rendering of each part, silent there or not. A part after the first begins with the system turns of the parts
+    before it, which count as its messages and move its spans.
     A conversation of system turns alone has no speaker and gives no row; an empty table none.
     """
-    message = F.struct(
+    plain = turns.select(
+        F.col(conv).alias("conv_id"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    part = F.coalesce(F.floor(F.col(turn) / F.lit(part_turns)).cast("long"), F.lit(0))
-    grouped = turns.select(F.col(conv).alias("conv_id"), part.alias("part"), message.alias("m")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    message = F.struct("turn", "role", "text").alias("m")
+    # Conversations of several parts: at most a row for each ``part_turns`` rows of the table.
+    long = written(plain.groupBy("conv_id").count().filter(F.col("count") > part_turns).select(F.col("conv_id").alias("id")), "long")
+    split = not long.isEmpty()
+    short = plain.join(if_small(long), F.col("conv_id").eqNullSafe(F.col("id")), "left_anti") if split else plain
+    grouped = short.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("ms"))
     speakers = F.array_sort(F.array_distinct(F.filter(F.transform("ms", lambda m: m["role"]), lambda r: r != system)))
-    seen = grouped.select("conv_id", "part", "ms", F.explode(speakers).alias("speaker"))
+    seen = grouped.select("conv_id", F.lit(0).cast("long").alias("part"), "ms", F.explode(speakers).alias("speaker"))
+    if split:
+        seen = seen.unionByName(parts_of(plain.join(if_small(long), F.col("conv_id").eqNullSafe(F.col("id")), "left_semi"), message, system, part_turns))
 
     def head(m: Column) -> Column:
         who = F.when(m["role"] == system, F.lit("system")).when(m["role"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), m["role"]))
