@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that part words: blank and 0x09 to 0x0D. ``bytes.split()`` parts at just these.
@@ -57,11 +58,39 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that make up about ``size`` bytes each."""
+    lo = have = 0
+    for i, t in enumerate(texts):
+        have += len(t)
+        if have >= size:
+            yield lo, i + 1
+            lo, have = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def fan_out(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session; the caller's setting, which follows the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named_apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with names that ``other`` has none of (in any case), and its columns by their old names."""
+    taken = {c.lower() for c in other.columns}
+    new = {}
+    for c in df.columns:
+        new[c] = f"__{c}"
+        while new[c].lower() in taken:
+            new[c] += "_"
+        taken.add(new[c].lower())
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), {c: F.col(f"`{n}`") for c, n in new.items()}
+
+
 def with_new(df: DataFrame, **columns) -> DataFrame:
     """Add result columns. A column of the input with the same name (in any case) gives way."""
     gone = {c.lower() for c in columns}

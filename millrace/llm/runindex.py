@@ -31,18 +31,25 @@ class RunIndex:
         left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1  # bytes up to the part's end, it included
         keep = np.minimum(left, 8).astype(np.uint64)
         cut = self.words | np.where(keep < 8, (np.uint64(1) << (np.uint64(8) * (np.uint64(8) - keep) % np.uint64(64))) - np.uint64(1), np.uint64(0))
-        rank = np.unique(cut, return_inverse=True)[1].astype(np.int64)
+        order = np.argsort(cut)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], cut[order][1:] != cut[order][:-1]]))
+        bits = n.bit_length()
         width = 8
-        while width < int(left.max()):
+        while True:
             second = np.zeros(n, np.int64)
             on = np.flatnonzero(left > width)
             second[on] = rank[on + width] + 1
-            values, rank = np.unique(rank * (n + 1) + second, return_inverse=True)
-            rank = rank.astype(np.int64)
+            if 3 * bits < 64:  # both ranks and the place in one number
+                key = np.sort((rank << (2 * bits)) | (second << bits) | np.arange(n))
+                rows, key = key & ((1 << bits) - 1), key >> bits
+            else:
+                rows = np.lexsort((second, rank))
+                key = rank[rows] * (n + 1) + second[rows]
+            rank[rows] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             width *= 2
-            if len(values) == n:
+            if width >= int(left.max()) or rank[rows[-1]] == n - 1:
                 break
-        rows = np.argsort(rank, kind="stable")
         self.rows = rows
         before = text[rows - 1]  # the text's last byte is END, so that the wrap is one
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -60,6 +67,7 @@ class RunIndex:
         self.to = np.empty(len(starts), np.int64)
         self.to[by_byte] = base[self.run_byte[by_byte]] + gone - first_of[self.run_byte[by_byte]]
         self.run_len = run_len
+        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), run_len)
         self.by_byte = by_byte
         self.by_key = self.run_byte[by_byte] * (len(starts) + 1) + by_byte
 
@@ -111,7 +119,7 @@ class RunIndex:
             place = ends[:live] - t
             c = pattern[place].astype(np.int64)
             r, s, p = row[:live], size[:live], spot[:live]
-            run = np.searchsorted(self.run_start, r, side="right") - 1
+            run = self.run_of[r]
             goes = self.run_byte[run] == c
             new_row = self.to[run] + (r - self.run_start[run])
             new_size, new_spot = np.minimum(s + 1, self.order), p - 1

@@ -3,12 +3,13 @@
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id. No single
 index can hold a large corpus, so windows of 50 bytes are dealt by content: the least hash of the 24-byte
 strings in a window (its anchor) is the same wherever the window stands. Runs of windows with one anchor are
-a segment. Anchors that only one document has are set aside by counting; segments of the others meet by
-anchor, alike ones as one with the least document. Where an anchor has several different segments, these
-form the text of a run-length index (see ``runindex``), and each segment's matching statistics are streamed
-through it: matches of 50 or more lead to the least document that holds the window. An anchor with very many
-segments, as at the edges of a passage that countless documents quote, is split: its windows are grouped
-one by one. So memory is bounded by a batch of anchors, and no document is compared with all others.
+a segment. Anchors of one text alone are set aside by counting (``frequency``). Segments of the
+others are gathered by anchor: a run-length index (``runindex``) is built over the distinct segments of a bin
+of anchors, and the segments' matching statistics are streamed through it: matches of 50 or more lead to the
+least document that holds the window. Where an anchor has more segments than an index holds, as at the edges
+of a passage that countless documents quote, its segments are taken apart into windows, which are dealt to
+several indexes by their content. So memory is bounded by a batch of texts or a bin, and no document is
+compared with all others. Of texts that several documents have, the one of the least id stands for all.
 """
 
 from __future__ import annotations
@@ -22,217 +23,208 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fan_out, released, written
+from ..session import if_small
+from . import frequency
+from .common import chunks, encoded, named_apart, released, written
+from .frequency import batch_of, binaries, classed, cogrouped
 from .runindex import END, RunIndex
 
 ANCHOR = 24
 #: Windows of a segment at most; longer runs (text that repeats itself) are cut.
 RUN = 64
-#: Different segments of an anchor above which its windows are grouped one by one.
-CROWD = 200
-#: Bytes of text that an index is built over at a time.
-INDEX_BYTES = 2_000_000
+#: Bytes of the segments of a bin, on average, and those of an anchor from which it is taken apart.
+INDEX_BYTES = 1 << 18
+#: Bytes of texts that anchors are computed for at a time.
+CHUNK = 1 << 17
+#: Parts that rows are dealt to where a join's key may be hot.
+SALTS = 16
 
 _rng = np.random.default_rng(5)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 FACTOR = 0x9E3779B97F4A7C15
 
 
-def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segments of a text: the anchor (63 bits) and the first window of each; all windows from there to the next belong to it."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grown: dict[int, np.ndarray] = {1: BYTE_HASH[data]}
-    width = 1
-    while width * 2 <= ANCHOR:
-        x = grown[width]
-        grown[width * 2] = x[:-width] * np.uint64(pow(FACTOR, width, 2**64)) + x[width:]
-        width *= 2
-    h, have = grown[width], width
-    while have < ANCHOR:
-        step = max(w for w in grown if w <= ANCHOR - have)
-        tail = grown[step][have:]
-        h = h[: len(tail)] * np.uint64(pow(FACTOR, step, 2**64)) + tail
-        have += step
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(32))) >> np.uint64(1)
-    wanted, have, low = window - ANCHOR + 1, 1, h
-    while have < wanted:
-        step = min(have, wanted - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
-    low = low[:n]
-    new = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    length = np.diff(np.append(new, n))
-    if (length > RUN).any():
-        cuts = -(-length // RUN)
-        new = np.repeat(new, cuts) + RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-    return low[new].view(np.int64), new
-
-
-def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def repeated_windows(index_rows: list[tuple[int, bytes, int]], window: int) -> list[tuple[int, list[int]]]:
-    """For segments (number, bytes, least document) of some anchors: those with windows that a smaller document has, and which."""
-    text = np.frombuffer(b"".join(s + bytes([END]) for _, s, _ in index_rows), np.uint8)
-    lens = np.array([len(s) for _, s, _ in index_rows])
+def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of texts: the text's number, the anchor (63 bits), the first window and the number of windows."""
+    found = []
+    for lo, hi in chunks(texts, CHUNK):
+        data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        lens = np.array([len(t) for t in texts[lo:hi]])
+        n = np.maximum(lens - window + 1, 0)
+        if not n.any():
+            continue
+        h, have = BYTE_HASH[data], 1
+        grown = {1: h}
+        while have * 2 <= ANCHOR:
+            h = h[:-have] * np.uint64(pow(FACTOR, have, 2**64)) + h[have:]
+            have *= 2
+            grown[have] = h
+        while have < ANCHOR:
+            step = max(w for w in grown if w <= ANCHOR - have)
+            tail = grown[step][have:]
+            h = h[: len(tail)] * np.uint64(pow(FACTOR, step, 2**64)) + tail
+            have += step
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        low = (h ^ (h >> np.uint64(32))) >> np.uint64(1)
+        wanted, have = window - ANCHOR + 1, 1
+        while have < wanted:
+            step = min(have, wanted - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        # Windows that lie within one text.
+        own = np.repeat(np.arange(len(lens)), n)
+        at = np.arange(len(own)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(n) - n), n)
+        low = low[at]
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1])]))
+        length = np.diff(np.append(new, len(own)))
+        if (length > RUN).any():
+            cuts = -(-length // RUN)
+            new = np.repeat(new, cuts) + RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            length = np.diff(np.append(new, len(own)))
+        row = own[new]
+        found.append((row + lo, low[new], at[new] - (np.cumsum(lens) - lens)[row], length))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+
+
+def firsts_of(texts: pa.Table, beside: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, t1 and bytes of the rows of a batch that stand for their text, by id; once each."""
+    wanted = {(d, a, b) for d, a, b in zip(*(beside.column(c).to_pylist() for c in ("doc_id", "t1", "t2")), strict=True) if d is not None}
+    rows = {}
+    for k, row in enumerate(zip(*(texts.column(c).to_pylist() for c in ("doc_id", "t1", "t2")), strict=True)):
+        if row in wanted:
+            rows.setdefault(row, k)
+    order = sorted(rows)
+    column = texts.column("text")
+    return np.array([r[0] for r in order], np.int64), np.array([r[1] for r in order], np.int64), [encoded(column[rows[r]].as_py()) for r in order]
+
+
+def runs_by_text(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The rows that have runs (``row`` ascending), and the runs of each as pairs of int32."""
+    some, first = np.unique(row, return_index=True)
+    pairs = np.stack([start, n], axis=1).astype(np.int32).reshape(-1)
+    return some, binaries(pairs, 2 * np.append(first[1:], len(row)) if len(row) else np.zeros(0, int))
+
+
+def repeated_windows(segs: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of segments with windows that a smaller document has: the row, the first and the number of windows of each run."""
+    number: dict[bytes, int] = {}
+    of = np.fromiter((number.setdefault(s, len(number)) for s in segs), np.int64, len(segs))
+    parts = list(number)
+    least = np.full(len(parts), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, docs)
+    lens = np.array([len(s) for s in parts])
+    text = np.frombuffer(b"".join(s + bytes([END]) for s in parts), np.uint8)
     starts = np.cumsum(lens + 1) - lens - 1
-    least = np.array([d for _, _, d in index_rows])
     index = RunIndex(text, window)
-    # Samples carry the least document of their window.
     owner = np.repeat(np.arange(len(lens)), lens + 1)
     full = np.arange(len(text)) + window <= (starts + lens)[owner]
     group = index.groups()
     of_group = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(of_group, group[full], least[owner[full]])
-    pattern = np.frombuffer(b"".join(s for _, s, _ in index_rows), np.uint8)
-    p_starts = np.cumsum(lens) - lens
-    length, where = index.stream(pattern, p_starts, lens)
-    at = np.flatnonzero(length >= window)
-    row = np.repeat(np.arange(len(lens)), lens)[at]
-    hit = of_group[group[where[at]]] < least[row]
-    row, place = row[hit], (at - p_starts[row])[hit]
-    cuts = np.flatnonzero(np.diff(row)) + 1 if len(row) else []
-    return [(index_rows[r[0]][0], p.tolist()) for r, p in zip(np.split(row, cuts), np.split(place, cuts), strict=True) if len(r)]
+    pattern = text[text != END]
+    length, where = index.stream(pattern, np.cumsum(lens) - lens, lens)
+    lowest = np.where(length >= window, of_group[group[where]], np.iinfo(np.int64).max)
+    # Each row against the least documents of its segment's windows.
+    n = lens[of] - window + 1
+    row = np.repeat(np.arange(len(of)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    hit = np.concatenate([[False], lowest[(np.cumsum(lens) - lens)[of][row] + place] < docs[row], [False]])
+    inner = np.concatenate([[False], row[1:] == row[:-1], [False]])  # continues the row before
+    begin = np.flatnonzero(hit[1:-1] & ~(hit[:-2] & inner[:-1]))
+    end = np.flatnonzero(hit[1:-1] & ~(hit[2:] & inner[1:]))
+    return row[begin], place[begin], end - begin + 1
 
 
-def classed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with t1 and t2, 128 bits that stand for the text."""
-    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
+FOUND = "h long, seg binary, doc_id long, t1 long, start int, runs binary"
 
 
 def marks(docs: DataFrame, window: int) -> DataFrame:
-    """t1, t2, least, starts and counts: of each text that has any, the runs of windows that start in a smaller document as well.
+    """t1, t2, doc_id and runs, a row for each text, with the id of the row that stands for it: the runs of its
+    windows (lists of pairs of int32: first window, number) that start in a document of a smaller id as well; null for none.
 
-    docs: doc_id, text, t1, t2. Rows of one text are a class; its row of the smallest id, ``least``, stands for it. Runs
-    are null where only copies of the text share its windows.
+    docs: doc_id, text, t1, t2.
     """
-    spark = docs.sparkSession
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = [np.unique(anchors(encoded(t.as_py()), window)[0]) for t in batch.column("text")[at : at + 256]]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[at : at + 256] for c in ("doc_id", "t1", "t2")], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(some)))], names=["doc_id", "t1", "t2", "hs"])
-
-    ids = written(docs.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
-    rows = docs.select("doc_id", "t1", "t2", "text").mapInArrow(listed, "doc_id long, t1 long, t2 long, hs array<long>")
-    firsts = ids.select("t1", "t2", F.col("least").alias("doc_id"))
-    reps = written(rows.filter(F.size("hs") > 0).join(firsts, ["t1", "t2", "doc_id"], "left_semi"), "anchors")
-    tokens = reps.select("t1", "t2", F.explode("hs").alias("h"))
-    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    wanted = written(tokens.join(often, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs")), "wanted")
-    released(reps)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch.slice(at, 64)
-                rows, first, sizes, own, data = [], [], [], [], []
-                base = 0
-                for k in range(len(some)):
-                    text = encoded(some.column("text")[k].as_py())
-                    h, new = anchors(text, window)
-                    on = np.flatnonzero(np.isin(h, some.column("hs")[k].values.to_numpy()))
-                    stop = np.append(new[1:], max(0, len(text) - window + 1))
-                    rows.append(np.full(len(on), k))
-                    first.append(new[on])
-                    sizes.append(stop[on] - new[on])
-                    own.append((h[on], new[on] + base))
-                    data.append(text)
-                    base += len(text)
-                rows, first, sizes = np.concatenate(rows), np.concatenate(first), np.concatenate(sizes)
-                h, begin = (np.concatenate([x[i] for x in own]) for i in range(2))
-                length = sizes + window - 1
-                ends = np.cumsum(length)
-                # The bytes of all segments, end to end.
-                step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
-                if len(ends):
-                    step[0] = begin[0]
-                    step[ends[:-1]] = begin[1:] - (begin[:-1] + length[:-1] - 1)
-                raw = np.frombuffer(b"".join(data), np.uint8)[np.cumsum(step)]
-                segs = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw)])
-                ids = [some.column(c).take(pa.array(rows)) for c in ("doc_id", "t1", "t2")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(first.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h), segs], names=["doc_id", "t1", "t2", "start", "windows", "h", "seg"])
-
-    asked = docs.join(firsts.join(wanted, ["t1", "t2"]), ["t1", "t2", "doc_id"])
-    found = asked.select("doc_id", "t1", "t2", "text", "hs").mapInArrow(cut, "doc_id long, t1 long, t2 long, start int, windows int, h long, seg binary")
-    found = written(found.withColumn("s", F.xxhash64("seg")), "segments")
-    released(wanted)
-    # Alike segments as one: the least document, where it has the segment, and the largest document.
-    first = F.min(F.struct("doc_id", "start"))
-    distinct = found.groupBy("h", "s").agg(first.alias("at"), F.max("doc_id").alias("most")).select("h", "s", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start"), "most")
-    distinct = written(distinct, "distinct")
-    crowds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    places = distinct.join(crowds, "h").select("h", "s", F.col("least").alias("doc_id"), "start", "m")
-    several = found.select("h", "s", "doc_id", "start", "seg").join(places, ["h", "s", "doc_id", "start"]).withColumnRenamed("doc_id", "least")
-
-    def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            number = list(zip(range(len(rows)), map(bytes, rows["seg"]), rows["least"], strict=True))
-            hits = repeated_windows(number, window)
-            at = [i for i, _ in hits]
-            return pd.DataFrame({"h": rows["h"].to_numpy()[at], "s": rows["s"].to_numpy()[at], "extra": [p for _, p in hits]})
-
-        rest: pd.DataFrame | None = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            while True:
-                size = rest["seg"].str.len().cumsum().to_numpy()
-                if not len(size) or size[-1] < INDEX_BYTES:
-                    break
-                # Up to the last anchor that is whole.
-                h = rest["h"].to_numpy()
-                edges = np.flatnonzero(h[1:] != h[:-1]) + 1
-                edges = edges[size[edges - 1] <= max(INDEX_BYTES, size[edges[0] - 1])] if len(edges) else edges
-                if not len(edges):
-                    break
-                yield done(rest.iloc[: edges[-1]])
-                rest = rest.iloc[edges[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield done(rest)
-
-    few = several.filter(F.col("m") <= CROWD).select("h", "s", "seg", "least")
-    by_index = few.repartition(fan_out(spark), "h").sortWithinPartitions("h").mapInPandas(indexed, "h long, s long, extra array<int>")
-    # Crowded anchors: windows by themselves, grouped by their bytes.
-    lone = several.filter(F.col("m") > CROWD).select("h", "s", "seg", "least", F.explode(F.sequence(F.lit(0), F.length("seg") - window)).alias("i")).withColumn("w", F.expr(f"substring(seg, i + 1, {window})")).drop("seg")
-    lowest = lone.groupBy("w").agg(F.min("least").alias("lowest"))
-    by_window = lone.join(lowest, "w").filter("lowest < least").groupBy("h", "s").agg(F.collect_list("i").alias("extra"))
-    extra = by_index.union(by_window)
-    known = distinct.filter("most > least").select("h", "s", "least").join(extra, ["h", "s"], "full").select("h", "s", "least", "extra")
-    # A copy in a larger document goes as a whole; the least document's own segment where another has a smaller document.
-    known = written(known, "known")
-    released(distinct)
-    own = found.select("doc_id", "t1", "t2", "start", "windows", "h", "s").join(known, ["h", "s"])
-    whole = F.col("doc_id") > F.col("least")
-    run = F.struct(F.col("start").alias("start"), F.col("windows").alias("n"))
-    runs = F.when(F.coalesce(whole, F.lit(False)), F.array(run)).otherwise(F.transform(F.coalesce("extra", F.array().cast("array<int>")), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n"))))
-    # Rows that share id and text give the same runs twice, which is one run.
-    by_text = own.select("t1", "t2", F.explode(runs).alias("r")).groupBy("t1", "t2").agg(F.collect_set("r").alias("rs")).select("t1", "t2", F.col("rs.start").alias("starts"), F.col("rs.n").alias("counts"))
-    out = written(ids.join(by_text, ["t1", "t2"], "left").filter("most > least or starts is not null").select("t1", "t2", "least", "starts", "counts"), "marks")
-    released(ids, found, known)
+    ids = written(frequency.classes(docs), "classes")
+    total = ids.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    n_batches, n_buckets = frequency.batches_of(total), frequency.buckets_of(total // 14)
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).select(batch_of(n_batches), "doc_id", "t1", "t2", "text")
+    firsts = ids.filter(F.col("bytes") >= window).select(F.col("least").alias("doc_id"), "t1", "t2")
+    firsts = firsts.select(batch_of(n_batches), "doc_id", "t1", "t2")
+
+    def listed(own: pa.Table, beside: pa.Table) -> pa.Table:
+        _, _, data = firsts_of(own, beside)
+        doc, h, _, _ = anchors(data, window)
+        u, counts, _ = frequency.distinct(h, doc)
+        return pa.table(frequency.packed(own.column("batch")[0].as_py() if len(own) else 0, u, counts, n_buckets))
+
+    told = written(frequency.codes(cogrouped(texts, firsts, listed, frequency.LISTS)), "codes")
+
+    def cut(own: pa.Table, beside: pa.Table) -> pa.Table:
+        ids, t1, data = firsts_of(own, beside)
+        doc, h, start, n = anchors(data, window)
+        u, _, place = frequency.distinct(h)
+        known = [(b.as_py(), c.as_py()) for b, c in zip(beside.column("bucket"), beside.column("codes"), strict=True) if b.is_valid]
+        on = np.flatnonzero(frequency.unpacked(u, n_buckets, known)[place])
+        first: dict[bytes, int] = {}
+        asked, segs, whole = [], [], []
+        for k, d, lo, hi in zip(on.tolist(), doc[on].tolist(), start[on].tolist(), (start + n + window - 1)[on].tolist(), strict=True):
+            seg = data[d][lo:hi]
+            j = first.setdefault(seg, k)
+            if j != k and ids[doc[j]] < ids[d]:  # a smaller document of this batch has it
+                whole.append(k)
+            else:
+                asked.append(k)
+                segs.append(seg)
+        asked, whole = np.array(asked, np.int64), np.array(whole, np.int64)
+        sure, runs = runs_by_text(doc[whole], start[whole], n[whole])
+        index = {"h": pa.array(h[asked].view(np.int64)), "seg": pa.array(segs, pa.binary()), "doc_id": pa.array(ids[doc[asked]]), "t1": pa.array(t1[doc[asked]]), "start": pa.array(start[asked].astype(np.int32)), "runs": pa.nulls(len(asked), pa.binary())}
+        direct = {"h": pa.nulls(len(sure), pa.int64()), "seg": pa.nulls(len(sure), pa.binary()), "doc_id": pa.array(ids[sure]), "t1": pa.array(t1[sure]), "start": pa.nulls(len(sure), pa.int32()), "runs": runs}
+        return pa.concat_tables([pa.table(index), pa.table(direct)])
+
+    nothing = F.lit(None)
+    beside = firsts.select("*", nothing.cast("int").alias("bucket"), nothing.cast("binary").alias("codes")).unionByName(told.select("batch", *[nothing.cast("long").alias(c) for c in ("doc_id", "t1", "t2")], "bucket", "codes"))
+    found = written(cogrouped(texts, beside, cut, FOUND), "segments")
+    released(told)
+    segs = found.filter("seg is not null").select("h", "seg", "doc_id", "t1", "start")
+    size = F.length("seg") + 1
+    large = written(segs.groupBy("h").agg(F.sum(size).alias("b")).filter(F.col("b") > INDEX_BYTES), "large")
+    n_bins = F.lit(1 + (segs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // INDEX_BYTES)
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
+    dealt = segs.withColumn("salt", salt).join(if_small(large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))), ["h", "salt"], "left")
+    kept = dealt.filter("b is null").select(F.pmod(F.xxhash64("h"), n_bins).alias("bin"), "seg", "doc_id", "t1", "start")
+    apart = dealt.filter("b is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.length("seg") - window)))
+    apart = apart.select(F.expr(f"substring(seg, i + 1, {window})").alias("seg"), "doc_id", "t1", (F.col("start") + F.col("i")).alias("start"))
+    apart = apart.select(F.pmod(F.xxhash64("seg"), n_bins).alias("bin"), "seg", "doc_id", "t1", "start")
+
+    def indexed(rows: pa.Table) -> pa.Table:
+        ids, t1, start = (rows.column(c).to_numpy() for c in ("doc_id", "t1", "start"))
+        row, first, n = repeated_windows(rows.column("seg").to_pylist(), ids, window)
+        some, runs = runs_by_text(row, first + start[row], n)
+        return pa.table({"doc_id": pa.array(ids[some]), "t1": pa.array(t1[some]), "runs": runs})
+
+    hits = kept.union(apart).groupBy("bin").applyInArrow(indexed, "doc_id long, t1 long, runs binary")
+    every = found.filter("runs is not null").select("doc_id", "t1", "runs").union(hits)
+    runs = written(every.groupBy("doc_id", "t1").agg(F.collect_list("runs").alias("runs")), "runs")
+    released(found, large)
+    out = written(ids.select("t1", "t2", F.col("least").alias("doc_id")).join(runs, ["doc_id", "t1"], "left").select("t1", "t2", "doc_id", "runs"), "marks")
+    released(ids, runs)
     return out
 
 
-def removed(text: bytes, starts: list[int], counts: list[int], window: int) -> np.ndarray:
-    """Begin and end of the maximal runs of bytes that go, a row each."""
-    change = np.zeros(len(text) + 1, np.int64)
-    np.add.at(change, np.asarray(starts, np.int64), 1)
-    np.add.at(change, np.asarray(starts, np.int64) + np.asarray(counts, np.int64) + window - 1, -1)
-    gone = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
-    return np.stack([np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1)], axis=1)
-
-
-def spans_of(data: bytes, whole: bool, starts: list[int] | None, counts: list[int] | None, window: int) -> np.ndarray:
-    """The runs of bytes of a row that go: all, if the whole text stands in a smaller document and holds a window."""
+def spans_of(data: bytes, whole: bool, runs: list[bytes] | None, window: int) -> np.ndarray:
+    """Begin and end of the maximal runs of bytes of a row that go, a row each: all, if the whole text stands in a smaller document and holds a window."""
     if whole and len(data) >= window:
         return np.array([[0, len(data)]])
-    return removed(data, starts, counts, window) if starts is not None else np.zeros((0, 2), np.int64)
+    if not runs or whole:
+        return np.zeros((0, 2), np.int64)
+    pairs = np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2).astype(np.int64)
+    change = np.zeros(len(data) + 1, np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs.sum(axis=1) + window - 1, -1)
+    gone = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
+    return np.stack([np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1)], axis=1)
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
@@ -240,55 +232,59 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def verdict(doc_id: Column, least: Column, starts: Column, counts: Column) -> list[Column]:
-    """What a row takes from its text's marks: a copy goes as a whole, the first row by its runs; a null id by neither."""
-    return [F.coalesce(doc_id > least, F.lit(False)).alias("whole"), F.when(doc_id == least, starts).alias("starts"), F.when(doc_id == least, counts).alias("counts")]
+def whole_copy(doc_id: Column, text: Column, matched: Column) -> Column:
+    """Whether a row's text stands in a row of a smaller id: it has both, and is not the one that stands for its text."""
+    return doc_id.isNotNull() & text.isNotNull() & matched.isNull()
 
 
 def long_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A null text is empty. Rows with a null id remove nothing and lose nothing. Rows that share an id are
-    one place in the order and remove nothing from each other. An empty table gives an empty one.
+    one place in the order and remove nothing from each other (ties are never smaller). Texts of any length are
+    taken whole; one text's anchors are held by one task. Other columns are not read, whatever their names. An
+    empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column("whole").to_pylist()
+            whole, runs = batch.column("whole").to_pylist(), batch.column("runs").to_pylist()
             out = []
             for k, t in enumerate(batch.column("text")):
                 data = encoded(t.as_py())
-                spans = spans_of(data, whole[k], batch.column("starts")[k].as_py(), batch.column("counts")[k].as_py(), window)
+                spans = spans_of(data, whole[k], runs[k], window)
                 kept = kept_bytes(data, spans)
                 out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    plain = classed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    found = marks(plain.filter("doc_id is not null and text is not null"), window)
-    joined = plain.join(found, ["t1", "t2"], "left").select("doc_id", "text", *verdict(F.col("doc_id"), F.col("least"), F.col("starts"), F.col("counts")))
+    plain = classed(docs, key, text)
+    found = marks(plain, window).withColumn("known", F.lit(True))
+    joined = plain.join(found, ["t1", "t2", "doc_id"], "left")
+    joined = joined.select("doc_id", "text", whole_copy(F.col("doc_id"), F.col("text"), F.col("known")).alias("whole"), "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """The documents with the repeated bytes taken out of their text; other columns as they come.
+    """The documents with the repeated bytes taken out of their text; other columns as they come, whatever their names.
 
-    A cut inside a character drops the bytes of it that are left. A text of which nothing is left stays, empty.
+    Rows, nulls and ties are as in ``long_repeats``. A cut inside a character drops the bytes of it that are left. A
+    null text stays null, and a text of which nothing is left stays, empty.
     """
 
     @F.pandas_udf("string")
-    def left(texts: pd.Series, whole: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
+    def left(texts: pd.Series, whole: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
-        for t, w, s, n in zip(texts, whole, starts, counts, strict=True):
+        for t, w, r in zip(texts, whole, runs, strict=True):
             if t is None:
                 out.append(t)
                 continue
             data = encoded(t)
-            out.append(kept_bytes(data, spans_of(data, w, s, n, window)).decode("utf-8", "ignore"))
+            out.append(kept_bytes(data, spans_of(data, w, None if r is None else list(r), window)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    plain = classed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    found = marks(plain.filter("doc_id is not null and text is not null"), window).select(*[F.col(c).alias(f"__{c}") for c in ("t1", "t2", "least", "starts", "counts")])
-    body = F.col(text).cast("string")
-    joined = docs.join(found, (F.xxhash64(body) == F.col("__t1")) & (F.xxhash64(F.lit(7), body) == F.col("__t2")), "left")
-    return joined.select(*[left(body, *verdict(F.col(key).cast("long"), F.col("__least"), F.col("__starts"), F.col("__counts"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    found = marks(classed(docs, key, text), window).withColumn("known", F.lit(True))
+    found, own = named_apart(found, docs)
+    body, ident = F.col(text).cast("string"), F.col(key).cast("long")
+    joined = docs.join(found, (F.xxhash64(body) == own["t1"]) & (F.xxhash64(F.lit(7), body) == own["t2"]) & (ident == own["doc_id"]), "left")
+    return joined.select(*[left(body, whole_copy(ident, body, own["known"]), own["runs"]).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

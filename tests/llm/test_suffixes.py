@@ -55,8 +55,8 @@ def test_planted_repeats(spark, seed):
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
-def test_crowded_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "CROWD", 3)
+def test_anchor_of_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "INDEX_BYTES", 300)
     core = "the very same sentence stands in all of these documents, word by word, to its end"
     rows = [(i, f"{i * 7919:09d} {core} {i * 104729:09d}") for i in range(40)]
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
@@ -72,3 +72,28 @@ def test_texts_keep_other_columns(spark):
 
 def test_empty(spark):
     assert suffixes.long_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shared_strings_shorter_than_a_window(spark):
+    """Anchors meet, and no window does."""
+    core = "this string of thirty-six bytes is.."
+    rows = [(i, f"{i}{'abc'[i] * 30}{core}{'xyz'[i] * 30}") for i in range(3)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_many_batches(spark, monkeypatch):
+    from millrace.llm import frequency
+
+    monkeypatch.setattr(frequency, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(frequency, "BUCKET_HASHES", 100)
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(90)) for _ in range(5)]
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(40)) + rng.choice(passages)[: rng.randint(40, 90)] + "".join(rng.choice("abcdef ") for _ in range(70))) for i in range(120)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_clashing_names_and_a_null_key(spark):
+    same = "0123456789" * 8
+    df = spark.createDataFrame([(1, same, 1, 1, "r"), (2, same, 2, 2, "s"), (None, same, 3, 3, "t")], "doc_id long, text string, __t1 long, __known long, __RUNS string")
+    got = {r["doc_id"]: r for r in suffixes.without_repeats(df).collect()}
+    assert got[1]["text"] == same and got[2]["text"] == "" and got[None]["text"] == same and got[2]["__RUNS"] == "s" and got[2]["__known"] == 2
