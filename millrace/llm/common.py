@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes that part words: blank and 0x09 to 0x0D. ``bytes.split()`` parts at just these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,35 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     This cuts the lineage: an executor lost later costs a read and not the work before it.
     """
-    path = f"{shared_dir(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._written_at = path
-    tidy(df.sparkSession)
     return again
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now: it does once the driver's JVM has collected their plans."""
+    """After a step that shuffled the texts: let Spark's cleaner drop the shuffle files of finished jobs now. It does once the driver's JVM has collected their plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -79,15 +65,21 @@ def fan_out(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or others like them, that the table has no column of (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def named_apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """``df`` with names that ``other`` has none of (in any case), and its columns by their old names."""
-    taken = {c.lower() for c in other.columns}
-    new = {}
-    for c in df.columns:
-        new[c] = f"__{c}"
-        while new[c].lower() in taken:
-            new[c] += "_"
-        taken.add(new[c].lower())
+    new = dict(zip(df.columns, fresh(other, *[f"__{c}" for c in df.columns]), strict=True))
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), {c: F.col(f"`{n}`") for c, n in new.items()}
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,16 +22,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
     now = written(down(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "stars")
-    before = None
     while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if state == before:
+        # Stars: every upper node has one lower node, which is no upper node itself.
+        forked = now.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").select("u")
+        chained = now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi")
+        if forked.union(chained).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy(F.col("u").alias("m")).agg(F.min("v").alias("lo")).select("m", F.least("m", "lo").alias("lo"))
-        large = down(both.filter("v > u").join(least, F.col("u") == F.col("m")).select(F.col("v").alias("u"), F.col("lo").alias("v")))
-        large = written(large, "stars")
+        large = written(down(both.filter("v > u").join(least, F.col("u") == F.col("m")).select(F.col("v").alias("u"), F.col("lo").alias("v"))), "stars")
+        released(now)
         least = large.groupBy(F.col("u").alias("m")).agg(F.min("v").alias("lo"))
         small = large.join(least, F.col("u") == F.col("m")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("lo").alias("v")), F.struct("u", F.col("lo").alias("v")))).alias("p")).select("p.u", "p.v")
         now = written(down(small), "stars")
+        released(large)

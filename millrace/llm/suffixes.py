@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import if_small
 from . import frequency
-from .common import chunks, encoded, named_apart, released, written
+from .common import chunks, encoded, named_apart, released, tidy, written
 from .frequency import batch_of, binaries, classed, cogrouped
 from .runindex import END, RunIndex
 
@@ -160,6 +160,7 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
         return pa.table(frequency.packed(own.column("batch")[0].as_py() if len(own) else 0, u, counts, n_buckets))
 
     told = written(frequency.codes(cogrouped(texts, firsts, listed, frequency.LISTS)), "codes")
+    tidy(docs.sparkSession)
 
     def cut(own: pa.Table, beside: pa.Table) -> pa.Table:
         ids, t1, data = firsts_of(own, beside)
@@ -187,6 +188,7 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     beside = firsts.select("*", nothing.cast("int").alias("bucket"), nothing.cast("binary").alias("codes")).unionByName(told.select("batch", *[nothing.cast("long").alias(c) for c in ("doc_id", "t1", "t2")], "bucket", "codes"))
     found = written(cogrouped(texts, beside, cut, FOUND), "segments")
     released(told)
+    tidy(docs.sparkSession)
     segs = found.filter("seg is not null").select("h", "seg", "doc_id", "t1", "start")
     size = F.length("seg") + 1
     large = written(segs.groupBy("h").agg(F.sum(size).alias("b")).filter(F.col("b") > INDEX_BYTES), "large")
@@ -208,6 +210,7 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     every = found.filter("runs is not null").select("doc_id", "t1", "runs").union(hits)
     runs = written(every.groupBy("doc_id", "t1").agg(F.collect_list("runs").alias("runs")), "runs")
     released(found, large)
+    tidy(docs.sparkSession)
     out = written(ids.select("t1", "t2", F.col("least").alias("doc_id")).join(runs, ["doc_id", "t1"], "left").select("t1", "t2", "doc_id", "runs"), "marks")
     released(ids, runs)
     return out

@@ -114,3 +114,21 @@ def test_odd_pages(spark):
     assert got[1]["host"] == "" and got[2]["path"] == ""
     assert (got[3]["host"], got[3]["path"], got[3]["rule"], got[3]["verdict"]) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert (got[4]["rule"], got[4]["verdict"]) == ("net/de/", "allow")
+
+
+def test_join_at_its_border(spark):
+    """Nine shingles each, eight alike, ten in all: just 0.8. Of eight, seven and nine: below. Within 50 words, one changed word links and two don't."""
+    words = lambda n, p: [f"{p}{i}" for i in range(n)]
+    with_ = lambda ws, *at: " ".join("other" if i in at else w for i, w in enumerate(ws))
+    a, b, c = words(13, "a"), words(12, "b"), words(50, "c")
+    rows = [(1, with_(a)), (2, with_(a, 12)), (3, with_(b)), (4, with_(b, 11)), (5, with_(c)), (6, with_(c, 20)), (7, with_(c, 10, 40))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
+
+
+def test_join_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (3, text), (None, text), (9, "quite another text of some seven words"), (9, text), (10, "quite another text of some seven words"), (11, " "), (12, " "), (13, None)]
+    got = sorted((tuple(r) for r in jaccard.similar_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == sorted([(5, 26, 3), (5, 26, 3), (3, 26, 3), (None, 26, None), (9, 3, 3), (9, 26, 3), (10, 3, 3), (11, 0, 11), (12, 0, 12), (13, 0, 13)], key=str)
