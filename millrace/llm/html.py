@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video".split())
+RAW = frozenset("script style template title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BOUNDS_P = CLOSES_P | frozenset("td th li dd dt button".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+FOREIGN = ("svg", "math")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag that is not closed ends before the next one.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>])*+)(?:>|(?=<)|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-label|data-y)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -45,31 +48,51 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements. Inline elements without names melt into their block; open ends are closed as browsers do."""
+    """The tree of block elements, in time linear in the page.
+
+    Inline elements without names melt into their block; open ends are closed as browsers do. Contents of scripts,
+    styles, templates, titles and text areas are left out; a template, title or text area without an end counts as an
+    ordinary element, a script or style as one that goes on to the page's end.
+    """
     root = Node("#root", None)
     open_: list[tuple[str, Node]] = [("#root", root)]  # element name and the node that its text goes to
-    in_link = 0
+    places: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
+    blocks: list[int] = []  # where elements are open that are not inline
+    bounds: list[int] = []  # where a "p" is open, or an element that no "p" outside is closed from
+    endless: set[str] = set()
     at = 0
 
+    def start(tag: str, node: Node) -> None:
+        places[tag].append(len(open_))
+        if tag not in INLINE:
+            blocks.append(len(open_))
+        if tag in BOUNDS_P:
+            bounds.append(len(open_))
+        open_.append((tag, node))
+
     def say(raw: str) -> None:
         if raw:
+            if len(open_) == 1 and raw.strip():  # text outside of all elements is in a body
+                start("body", Node("body", root))
             node = open_[-1][1]
             text = entities.unescape(raw) if "&" in raw else raw
             node.parts.append(text)
             n = len(text) - text.count(" ")
             node.text += n
-            node.links += n if in_link else 0
+            node.links += n if places["a"] else 0
 
     def shut(index: int) -> None:
-        nonlocal in_link
-        in_link -= sum(name == "a" for name, _ in open_[index:])
+        for name, _ in open_[index:]:
+            places[name].pop()
         del open_[index:]
+        for stack in (blocks, bounds):
+            while stack and stack[-1] >= index:
+                stack.pop()
 
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
-            rest = page[at:]
-            say(rest[: rest.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", rest) else rest)
+            say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
@@ -77,52 +100,39 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == tag:
-                    shut(i)
-                    break
+            # The end of an inline element within which a block is open closes nothing.
+            if places[tag] and not (tag in INLINE and blocks and blocks[-1] > places[tag][-1]):
+                shut(places[tag][-1])
             continue
-        if tag in RAW or tag in ("title", "textarea"):
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                stop = end.start() if end else len(page)
+        foreign = any(places[f] for f in FOREIGN)
+        closed = m[3].rstrip().endswith("/") and (foreign or tag in FOREIGN)
+        if tag in RAW and not closed and tag not in endless:
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end or tag in ("script", "style"):
                 if tag in ("title", "textarea"):
-                    own = Node(tag, open_[-1][1])
-                    own.text = stop - at
-                at = stop
-                if end:
-                    at = page.find(">", stop) + 1 or len(page)
-            continue
-        if tag in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == "p":
-                    shut(i)
-                    break
-                if open_[i][0] in CLOSES_P or open_[i][0] in ("td", "th", "li", "dd", "dt", "button"):
-                    break
-        if tag in SAME:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in SAME[tag]:
-                    shut(i)
-                    if tag != "tr":
-                        break
-                elif open_[i][0] in KEEPS[tag]:
-                    break
+                    Node(tag, open_[-1][1]).text = end.start() - at
+                at = end.end() if end else len(page)
+                continue
+            endless.add(tag)
+        if tag in CLOSES_P and bounds and open_[bounds[-1]][0] == "p":
+            shut(bounds[-1])
+        while tag in SAME:
+            near = max((places[x][-1] for x in SAME[tag] | KEEPS[tag] if places[x]), default=0)
+            if open_[near][0] not in SAME[tag]:
+                break
+            shut(near)
         found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
         names = tuple(dict.fromkeys(x.lower() for k in ("class", "id", "role", "aria-label") for x in NAME.findall(found.get(k, ""))))
         if tag == "br":
             open_[-1][1].parts.append(" ")
-        if tag in VOID:
-            if tag == "hr":
-                Node(tag, open_[-1][1])
-            elif tag == "input":
+        if tag in VOID or closed:
+            if tag in ("hr", "input"):
                 Node(tag, open_[-1][1])
             continue
         if tag in INLINE and not names and "data-y" not in found:
-            open_.append((tag, open_[-1][1]))
+            start(tag, open_[-1][1])
         else:
-            open_.append((tag, Node(tag, open_[-1][1], (*names, *(("hidden",) if "hidden" in found else ())), found.get("data-y"))))
-        in_link += tag == "a"
+            start(tag, Node(tag, open_[-1][1], (*names, *(("hidden",) if "hidden" in found else ())), found.get("data-y")))
     return root
 
 
@@ -147,7 +157,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
     for n in nodes:
         text, links, inputs = below[id(n)]
         share = links / text if text else 0
-        f = ["tag=" + n.tag, f"text={min(4, int(math.log(1 + text, 5)))}", "links=" + ("all" if share > 0.7 else "some" if share > 0.3 else "few")]
+        f = ["tag=" + n.tag, f"text={min(4, int(math.log(1 + text, 5)))}", f"own={'top' if n.tag in ('#root', 'html', 'body') else ''}{min(3, int(math.log(1 + n.text, 5)))}", "links=" + ("all" if share > 0.7 else "some" if share > 0.3 else "few")]
         f += ["name=" + x for x in n.names]
         if inputs and n.tag not in ("#root", "html", "body"):
             f.append("inputs")
@@ -169,8 +179,8 @@ class TreeModel:
                 above = label[id(n.parent)] if n.parent is not None else 0
                 y = label[id(n)] = int(n.y) if n.y is not None else above
                 if n.parent is not None:
-                    pair[above, self.kind(n)][y] += 1
-                    pair[above, ""][y] += 1
+                    for key in self.kinds(n):
+                        pair[above, key][y] += 1
                 total[y] += 1
                 for x in f:
                     emit[x][y] += 1
@@ -178,8 +188,11 @@ class TreeModel:
         self.pair = {k: tuple(math.log(c / sum(n)) for c in n) for k, n in pair.items()}
 
     @staticmethod
-    def kind(n: Node) -> str:
-        return n.tag if n.tag in ("p", "div", "section", "article", "main", "ul", "ol", "li", "table", "h1", "h2", "h3", "body", "html", "head", "blockquote", "pre") else "named" if n.names else "other"
+    def kinds(n: Node) -> list[str]:
+        """What the potential of a child and its parent goes by, from the closest to the widest: the child's element, whether it is named, and whether it stands at the top of the page."""
+        own = n.tag if n.tag in ("p", "div", "section", "article", "main", "ul", "ol", "li", "table", "h1", "h2", "h3", "body", "html", "head", "blockquote", "pre") else "other"
+        own += "." if n.names else ""
+        return [("top " if n.parent.tag in ("#root", "html", "body") else "in ") + own, own, ""]
 
     def potential(self, f: list[str]) -> tuple[float, float]:
         a = b = 0.0
@@ -193,7 +206,7 @@ class TreeModel:
         """Probability of content of each node: messages up, then down. The root is not content."""
         place = {id(n): i for i, n in enumerate(nodes)}
         up = [list(self.potential(f)) for f in features(nodes)]
-        trans = [None if n.parent is None else [self.pair.get((p, self.kind(n))) or self.pair.get((p, "")) or (math.log(0.5),) * 2 for p in (0, 1)] for n in nodes]
+        trans = [None if n.parent is None else [next((self.pair[p, k] for k in self.kinds(n) if (p, k) in self.pair), (math.log(0.5),) * 2) for p in (0, 1)] for n in nodes]
         sent: list[tuple[float, float]] = [(0.0, 0.0)] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             t, (a, b) = trans[i], up[i]
@@ -227,8 +240,8 @@ def main_text(page: str | None, model: TreeModel, threshold: float = 0.5) -> str
         return ""
     root = parse(page)
     nodes = in_order(root)
-    if len(nodes) == 1:  # no element at all: plain text
-        return " ".join("".join(root.parts).split())
+    if [n.tag for n in nodes] == ["#root", "body"]:  # no element at all: plain text
+        return " ".join("".join(nodes[1].parts).split())
     keep = {id(n): p >= threshold for n, p in zip(nodes, model.marginals(nodes), strict=True)}
     blocks: list[list[str]] = [[]]
     todo: list[str | Node | None] = [root]
@@ -253,7 +266,7 @@ def main_text(page: str | None, model: TreeModel, threshold: float = 0.5) -> str
 
 def filled(page: str) -> str:
     """A training page with its counts in braces turned into so many words."""
-    return re.sub(r"\{(\d+)\}", lambda m: " ".join(("lorem", "ipsum", "dolor", "amet", "elit,", "magna.")[i % 6] for i in range(int(m[1]))), page)
+    return re.sub(r"\{(\d+|n)\}", lambda m: " ".join(("lorem", "ipsum", "dolor", "amet", "elit,", "magna.")[i % 6] for i in range(25 if m[1] == "n" else int(m[1]))), page)
 
 
 # Labelled pages. data-y: 1 content, 0 other, inherited below; {n}: n words of text.
@@ -276,6 +289,43 @@ PAGES = [
     f"<html>{HEAD}<body data-y=1><h1>{{5}}</h1><p>{{50}}</p><p>{{30}}</p><ul><li>{{5}}</li></ul><p>{{20}}</p></body></html>",
     f"<html>{HEAD}<body data-y=0><div id=wrapper><div class=page data-y=0><div class='post content' data-y=1><h2>{{5}}</h2><div><p>{{50}}</p></div><p>{{9}}</p><ul><li>{{3}}</li><li>{{6}}</li></ul></div></div></div><div class='banner consent'>{{20}}</div><div class='author meta tags'>{{4}}</div></body></html>",
 ]
+# Pages without a wrapper, and layouts that name nothing.
+PAGES += [
+    "<html><body data-y=0><p data-y=1>{80}</p></body></html>",
+    "<html><body data-y=0><p data-y=1>{6}</p></body></html>",
+    "<html><body data-y=0><div data-y=1>{80}</div></body></html>",
+    "<html><body data-y=1>{70}</body></html>",
+    "<html><body data-y=1>{5}</body></html>",
+    "<p data-y=1>{2}</p>",
+    "<p data-y=1>{60}</p><p data-y=1>{30}</p>",
+    "<div data-y=1>{90}</div>",
+    "<div data-y=1><p>{3}</p></div>",
+    "<h1 data-y=1>{5}</h1><p data-y=1>{40}</p><ul data-y=1><li>{5}</li><li>{9}</li></ul>",
+    f"<html>{HEAD}<body data-y=0><h1 data-y=1>{{5}}</h1><p data-y=1>{{60}}</p><p data-y=1>{{9}}</p><blockquote data-y=1>{{20}}</blockquote><p data-y=1>{{40}}</p><hr><p data-y=1>{{12}}</p></body></html>",
+    f"<html>{HEAD}<body data-y=0><nav>{LINKS}</nav><h1 data-y=1>{{5}}</h1><p data-y=1>{{60}}</p><p data-y=1>{{9}}</p><footer>{{9}}</footer></body></html>",
+    f"<html>{HEAD}<body data-y=0><div data-y=1><p>{{50}}</p><p>{{20}}</p><div>{{12}}</div></div><div class=footer>{{9}}</div></body></html>",
+    f"<html>{HEAD}<body data-y=0><table data-y=1><tr><td>{{9}}</td><td>{{30}}</td></tr><tr><td><p>{{20}}</p></td></tr></table></body></html>",
+    f"<html>{HEAD}<body data-y=0><div>{LINKS}</div><div data-y=1><h2>{{4}}</h2><p>{{50}}</p></div><div class=copyright>{{9}}</div></body></html>",
+    f"<html>{HEAD}<body data-y=0><article data-y=1><p>{{20}}</p><noscript>{{8}}</noscript><svg><text>{{2}}</text></svg><math><mi>{{1}}</mi></math><object>{{9}}</object><p>{{20}}</p><iframe></iframe></article></body></html>",
+]
+# Layouts by rule: a wrapper of content among blocks of readers' comments, sidebars and the like, with long paragraphs too.
+BLOCKS = [
+    "<section class=comments data-y=0><div class=comment><p>{n}</p></div><div class=comment><p>{30}</p><p>{n}</p></div></section>",
+    "<aside class=sidebar data-y=0><h3>{2}</h3><p>{n}</p><p>{8}</p></aside>",
+    "<div class='comment list' data-y=0><h4>{2}</h4><p>{n}</p><p>{n}</p></div>",
+    "<div id=cookie class=notice data-y=0><p>{n}</p></div>",
+    "<div class=related data-y=0><p>{n}</p><ul><li><a href=/>{6}</a></li></ul></div>",
+    "<footer class=footer data-y=0><div><p>{n}</p><p>{n}</p></div></footer>",
+    "<div class=advert data-y=0><p>{n}</p></div>",
+]
+for wrapper in ("<article data-y=1>{c}</article>", "<main data-y=1>{c}</main>", "<div class=content data-y=1>{c}</div>"):
+    for i, block in enumerate(BLOCKS):
+        for n in (12, 45):
+            content = ("<h1>{5}</h1>" if i % 2 else "") + "<p>{40}</p><p>{12}</p>"
+            other = BLOCKS[(i + 3) % len(BLOCKS)]
+            PAGES.append(f"<html>{HEAD.replace('{{', '{').replace('}}', '}')}<body data-y=0><header>{{3}}</header>" + wrapper.replace("{c}", content + (block if n == 45 and i % 3 == 0 else "")) + block.replace("{n}", f"{{{n}}}") + other.replace("{n}", "{20}") + "</body></html>")
+for n in (1, 2, 4, 8, 30, 100):
+    PAGES += [f"<html><head data-y=0><title>{{4}}</title></head><body data-y=1>{{{n}}}</body></html>", f"<html><body data-y=1>{{{n}}}<br>{{9}}<p>{{{n}}}</p></body></html>", f"<html>{HEAD.replace('{{', '{').replace('}}', '}')}<body data-y=1>{{{n}}} <b>{{1}}</b> <p>{{{n}}}</p> {{3}}</body></html>"]
 
 
 def trained() -> TreeModel:
@@ -285,7 +335,8 @@ def trained() -> TreeModel:
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of every row, from its whole html.
 
-    Null html gives an empty text; repeated rows are extracted alike; an empty table gives an empty one.
+    Null html gives an empty text; repeated rows are extracted alike; an empty table gives an empty one. Pages of any
+    length and depth are read whole, in time linear in them. Other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
