@@ -23,9 +23,9 @@ from .common import written
 SLOTS = 1 << 19
 ORDERS = (3, 4, 5)
 #: Bound of the labelled sample by class.
-SAMPLE = {1: 3000, 0: 5000}
-#: Slots that training keeps: those that tell the classes apart best (by the likelihood ratio).
-KEPT = 8_000
+SAMPLE = {1: 4000, 0: 6000}
+#: Slots that training keeps at most: those that tell the classes apart best (by the likelihood ratio). Others weigh nothing.
+KEPT = 30_000
 SAMPLE_PARTS = 12
 
 
@@ -70,9 +70,29 @@ def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: flo
 def fit(slots: list[np.ndarray], ratio: np.ndarray, toxic: np.ndarray, weight: np.ndarray, *, l2: float = 2e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; feature values are the log-count ratios of the slots a
     text holds (``slots`` index ``ratio``). Gives weights with the ratios multiplied in, and the bias."""
-    rows = np.repeat(np.arange(len(slots), dtype=np.int32), [len(x) for x in slots])
     at = np.concatenate(slots).astype(np.int32)
-    squares = np.bincount(rows, weights=(ratio * ratio)[at], minlength=len(slots))
+    ends = np.cumsum([len(x) for x in slots])
+    blocks = [(i, min(i + 512, len(slots))) for i in range(0, len(slots), 512)]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Of each text, the sum over its slots."""
+        out = np.zeros(len(slots))
+        for lo, hi in blocks:
+            begin = int(ends[lo] - len(slots[lo]))
+            upto = np.concatenate([[0.0], np.cumsum(values[at[begin : int(ends[hi - 1])]])])
+            own = ends[lo:hi] - begin
+            out[lo:hi] = upto[own] - upto[np.concatenate([[0], own[:-1]])]
+        return out
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        """Of each slot, the sum over the texts that hold it."""
+        out = np.zeros(len(ratio))
+        for lo, hi in blocks:
+            begin = int(ends[lo] - len(slots[lo]))
+            out += np.bincount(at[begin : int(ends[hi - 1])], weights=np.repeat(values[lo:hi], [len(x) for x in slots[lo:hi]]), minlength=len(ratio))
+        return out
+
+    squares = sums(ratio * ratio)
     norm = float(np.sqrt(np.median(squares[squares > 0]))) if (squares > 0).any() else 1.0
     unit = ratio / norm
     y, w = toxic.astype(float), weight / weight.sum()
@@ -80,9 +100,9 @@ def fit(slots: list[np.ndarray], ratio: np.ndarray, toxic: np.ndarray, weight: n
     b = look_b = float(np.log((w * y).sum() / (w * (1 - y)).sum()))
     v = look_v = np.zeros(len(ratio))
     for k in range(rounds):
-        z = look_b + np.bincount(rows, weights=(unit * look_v)[at], minlength=len(slots))
+        z = look_b + sums(unit * look_v)
         g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        new_v = look_v - step * (unit * np.bincount(at, weights=g[rows], minlength=len(ratio)) + l2 * look_v)
+        new_v = look_v - step * (unit * spread(g) + l2 * look_v)
         new_b = look_b - step * g.sum()
         m = k / (k + 3)
         look_v, look_b, v, b = new_v + m * (new_v - v), new_b + m * (new_b - b), new_v, new_b
@@ -105,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         cut = F.when(F.col("y") == y, F.lit(int((1 << 30) * min(1.0, limits[y] / n)))).otherwise(cut)
     chosen = known.filter(order < cut).select("doc_id", F.col("y").cast("int").alias("y"))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = written(texts.join(F.broadcast(chosen), "doc_id").repartition(SAMPLE_PARTS, "doc_id"), "labelled")  # bounded by the sample
+    # Bounded by the sample: of rows that share a labelled id, the one of the least text.
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).repartition(SAMPLE_PARTS, "doc_id"), "labelled")
     taken = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
     if len(taken) < 2:  # one class or none: the bias says what there is to say
         return Model(np.zeros(SLOTS, np.float32), 10.0 if 1 in taken else -10.0)
@@ -162,7 +183,11 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, sample: dict[int, int] | None = None) -> DataFrame:
-    """Train and score. A null id is held out from nothing and scored; without usable labels all score near 0."""
+    """Train and score: a row per row of ``docs``, whole texts, repeated rows alike.
+
+    A null id is held out from nothing and scored; without usable labels all score near 0. An empty table gives an
+    empty one. Other columns are not read, whatever their names.
+    """
     return score(docs, train(docs, labels, key=key, text=text, sample=sample), key=key, text=text, threshold=threshold)
 
 
