@@ -17,6 +17,11 @@ from .common import written
 PART_TURNS = 1024
 
 
+def plainly(said: Column) -> Column:
+    """Text that can't be taken for a marker: its "<|" are parted."""
+    return F.replace(said, F.lit("<|"), F.lit("< |"))
+
+
 def parts_of(rows: DataFrame, message: Column, system: str, part_turns: int) -> DataFrame:
     """conv_id, part, ms and speaker of long conversations, dealt by the place of each row."""
     # The last key parts rows that are alike, so that even these are dealt to several tasks.
@@ -44,13 +49,15 @@ def perspectives(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     the same number keep the order of role, then text; repeated rows all stay. Every speaker of the conversation has
     a rendering of each part, silent there or not. A part after the first begins with the system turns of the parts
     before it, which count as its messages and move its spans.
+    "<|" in texts and roles becomes "< |", and a line break in a role a blank, so that only the rendering's own markers are such.
+    Long texts stay whole; other columns are not read, whatever their names.
     A conversation of system turns alone has no speaker and gives no row; an empty table none.
     """
     plain = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).alias("turn"),
-        F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        plainly(F.translate(F.coalesce(F.col(role).cast("string"), F.lit("unknown")), "\n", " ")).alias("role"),
+        plainly(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"),
     )
     message = F.struct("turn", "role", "text").alias("m")
     # Conversations of several parts: at most a row for each ``part_turns`` rows of the table.
