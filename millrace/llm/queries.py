@@ -91,11 +91,17 @@ FROM drawn, unnest(range(1, n_copies + 1)) AS c(copy)
 """
 
 OP9 = """
-WITH m AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 1024.0) AS BIGINT), 0) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+WITH c AS (
+  SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), chr(10), ' '), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ),
-g AS (SELECT conv_id, part, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS ms, list_filter(list_distinct(list(role)), lambda r: r <> 'system') AS speakers FROM m GROUP BY conv_id, part),
-s AS (SELECT conv_id, part, ms, u.speaker FROM g, unnest(speakers) AS u(speaker)),
+m AS (SELECT *, (row_number() OVER w - 1) // 1024 AS part, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+parts AS (SELECT DISTINCT conv_id, part FROM m),
+shown AS (
+  SELECT p.conv_id, p.part, m.place, m.role, m.text FROM parts p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND (m.part = p.part OR (m.part < p.part AND m.role = 'system'))
+),
+g AS (SELECT conv_id, part, list({'role': role, 'text': text} ORDER BY place) AS ms FROM shown GROUP BY conv_id, part),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+s AS (SELECT g.conv_id, part, ms, speaker FROM g JOIN speakers u ON u.conv_id IS NOT DISTINCT FROM g.conv_id),
 p AS (
   SELECT conv_id, part, speaker, list_transform(ms, lambda m: {
     'head': '<|im_start|>' || CASE WHEN m.role = 'system' THEN 'system' WHEN m.role = speaker THEN 'assistant' ELSE 'user name=' || m.role END || chr(10),
