@@ -155,15 +155,16 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     """vec_id, n_links, component_id and kept, a row per vector.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing.
-    Vectors of different lengths do not link. Rows that share an id are one vector (of different
-    vectors the least). Exact copies link with each other. A null id is a vector like others, which
-    links with nothing. An empty table gives an empty one.
+    Vectors of different lengths do not link. Exact copies link with each other. Rows that share an id count as
+    one and are in one component; where their vectors differ, links are counted for all that share their class's least id. A null id links with nothing, and its component
+    is null. A cosine of just the threshold links. An empty table gives an empty one. Other columns are not read,
+    whatever their names.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = written(rows.withColumn("v", F.when(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.col("v"))), "vectors")
-    classes = written(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
+    classes = written(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size")), "classes")
     plans = {r["dim"]: fitted(r["dim"], r["n"], threshold) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -220,7 +221,10 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
 
     found = written(dealt.mapInPandas(lambda b: (x[["a", "b", "n"]] for x in linked(b)), "a long, b long, n long"), "links")
     counted = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    joined = components(found.filter("a <> b")).select(F.col("node").alias("rep"), "component")
+    # An id of several vectors joins their classes.
+    several = rows.filter("v is not null").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("v").alias("w")).filter("v <> w").select("vec_id")
+    own = rows.filter("v is not null").join(several, "vec_id", "left_semi").join(classes, "v").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    joined = components(found.select("a", "b").union(own).filter("a <> b")).select(F.col("node").alias("rep"), "component")
     reps = classes.join(counted, "rep", "left").join(joined, "rep", "left").select("v", "rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     # Members take their class's result; a class of many copies is hot only on the rows' side of the join.
     out = rows.join(reps, "v", "left")
