@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_new
+from .common import fresh, named_apart, with_new
 
 #: Up to so many sources (below 2 MB of rates) the table of rates is broadcast.
 BROADCAST_SOURCES = 10_000
@@ -77,18 +77,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, rows_out: f
     (the place in the global order: rows are dealt by it and sorted by it in their partition).
     Input columns of those names give way. An empty table gives an empty one; null or empty
     texts are copied like others; a null key draws as the text "null" does; rows that share a
-    key share their draw, and their copies all stay.
+    key share their draw, and their copies all stay. Other columns may have any names.
     """
-    rates = source_rates(docs, weights, rows_out, source)
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    if few:
-        rated = docs.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__source")), "inner")
+    rates, own = named_apart(source_rates(docs, weights, rows_out, source), docs)
+    same = F.col(source).eqNullSafe(own["__source"])
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rated = docs.join(F.broadcast(rates), same, "inner")
     else:
-        salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-        spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("__own_salt", salt).join(spread, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__own_salt") == F.col("__salt")), "inner").drop("__own_salt", "__salt")
-    drawn = poisson_inverse(hash_unit(F.lit(seed), F.lit("count"), F.col(key)), F.col("__rate"))
-    counted = with_new(rated.drop("__source"), n_copies=drawn).drop("__rate").filter("n_copies > 0")
+        mine, other = fresh(rates.join(docs.limit(0)), "__own_salt", "__salt")
+        spread = rates.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(SALTS))).join(spread, same & (F.col(mine) == F.col(other)), "inner")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_copies", "copy", "shuffle_key")]
+    drawn = poisson_inverse(hash_unit(F.lit(seed), F.lit("count"), F.col(key)), own["__rate"])
+    counted = rated.select(*kept, drawn.alias("n_copies")).filter("n_copies > 0")
     copies = with_new(counted, copy=F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     placed = with_new(copies, shuffle_key=F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy"))))
     return placed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -139,7 +139,7 @@ def encode_codes(lattice: Lattice, codes: np.ndarray, doc: np.ndarray, key: np.n
         joins[1:] &= ~blank[1:] | blank[:-1]
     starts = np.flatnonzero(~joins)
     length = np.diff(np.append(starts, n))
-    # Units alike by two hashes of their characters are sampled from one lattice.
+    # Units alike by a 64-bit hash of their characters and places are sampled from one lattice; "lossless" would show a collision.
     place = np.arange(n) - np.repeat(starts, length)
     salt = mixed(np.arange(int(length.max()) + 1, dtype=np.uint64) + np.uint64(99))
     one = mixed(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[place])
