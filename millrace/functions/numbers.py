@@ -77,3 +77,23 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     inner = side(0, 2) * side(1, 3)
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     return F.coalesce(F.try_divide(inner, area(a) + area(b) - inner), F.lit(0.0))
+
+
+def scaled_pixels(values: Column, mean: float = 0.5, std: float = 0.5) -> Column:
+    """Bytes of an image as (x / 255 - mean) / std."""
+    return F.transform(values, lambda x: (x / 255.0 - mean) / std)
+
+
+def shocked(volatility: Column, price: Column, shock: float) -> tuple[Column, Column]:
+    """Implied volatility up by a shock and price down by that share."""
+    return volatility + shock, price * (1 - shock)
+
+
+def passes(confidence: Column, plddt: Column, least: float = 0.5, least_plddt: float = 50.0) -> Column:
+    """Whether a predicted structure is sure enough in both respects."""
+    return F.coalesce((confidence > least) & (plddt > least_plddt), F.lit(False))
+
+
+def same_elements(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, in any order and number."""
+    return F.coalesce((F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0), F.lit(False))

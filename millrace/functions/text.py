@@ -1,4 +1,4 @@
-"""Columns over text: cleaning, counts, templates, patterns."""
+"""Columns over text: cleaning, counts, filled forms, patterns."""
 
 from __future__ import annotations
 
@@ -69,12 +69,33 @@ def content_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def filled(template: str, **values: Column) -> Column:
-    """A template with ``{name}`` places filled by columns; null values count as empty."""
+def filled(form: str, **values: Column) -> Column:
+    """A form with ``{name}`` places filled by columns; null values count as empty."""
     import string
 
     parts = []
-    for literal, name, _, _ in string.Formatter().parse(template):
+    for literal, name, _, _ in string.Formatter().parse(form):
         parts += [F.lit(literal)] if literal else []
         parts += [F.coalesce(values[name].cast("string"), F.lit(""))] if name else []
     return F.concat(*parts) if parts else F.lit("")
+
+
+def path_parts(path: Column) -> dict[str, Column]:
+    """Name, suffix (with its dot; empty if there is none) and parent folder of a path."""
+    name = F.substring_index(path, "/", -1)
+    return {"name": name, "suffix": F.regexp_extract(name, r"(\.[^.]+)$", 1), "parent": F.regexp_extract(path, r"^(.*)/", 1)}
+
+
+def quality_score(size_mb: Column, length: Column, category: Column, n_words: Column) -> Column:
+    """0 to 4: a point each for a size above 0.01, a length above 100, a category that is not general, more than 20 words."""
+    point = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return point(size_mb > 0.01) + point(length > 100) + point(category != "general") + point(n_words > 20)
+
+
+def quality_rating(score: Column) -> Column:
+    return F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low")
+
+
+def issues(checks: dict[str, Column]) -> Column:
+    """The names of the checks that hold, as a JSON list."""
+    return F.to_json(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import running
+from ..session import if_small, running
 
 
 def tally(label: Column, flag: Column) -> list[Column]:
@@ -54,3 +54,39 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     """Counts of values and their shares of all rows. The total is one number, joined by broadcast."""
     per = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return per.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__all")))).withColumn("share", F.col("n") / F.col("__all")).drop("__all")
+
+
+def percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each group, interpolated: a column for each name in ``at``. Nulls are left out.
+
+    Values are counted, running totals over the distinct ones give their ranks, and the ranks wanted pick the values.
+    No group is gathered in one task.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running(per, [F.col(group), F.col(value)], F.col("__c"), "__upto")
+    sums = upto.groupBy(group).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    same = F.col(group).eqNullSafe(F.col("__group"))
+    placed = upto.join(if_small(sums.withColumnRenamed(group, "__group")), same)
+    first, end = F.col("__upto") - F.col("__c") - F.col("__start"), F.col("__upto") - F.col("__start")
+    ends = []
+    for name, p in at.items():
+        place = F.lit(p) * (F.col("__n") - 1)
+        for side, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.max(F.when((first <= k) & (k < end), F.col(value))).alias(f"__{side}_{name}"))
+    found = placed.groupBy(group).agg(F.first("__n").alias("__n"), *ends)
+    share = {name: F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1)) for name, p in at.items()}
+    return found.select(group, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * share[n]).alias(n) for n in at])
+
+
+def profile(df: DataFrame, value: str) -> DataFrame:
+    """Least, median, mean and largest value of a column: one row."""
+    ends = df.agg(F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
+    middle = percentiles(df.select(F.lit(1).alias("__one"), value), "__one", value, {"median": 0.5}).select("median")
+    return ends.join(F.broadcast(middle), how="left")  # a row each
+
+
+def average_precision(df: DataFrame, label: Column, score: Column) -> DataFrame:
+    """Mean over positives of the precision at their score: one row. Equal scores are one step."""
+    per = df.groupBy((-score).alias("__s")).agg(F.sum((label == 1).cast("long")).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    steps = running(running(per.filter("__s is not null"), [F.col("__s")], F.col("__p"), "__tp"), [F.col("__s")], F.col("__n"), "__all")
+    return steps.agg(F.try_divide(F.sum(F.col("__p") * F.col("__tp") / F.col("__all")), F.sum("__p")).alias("average_precision"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ranked
+from ..session import checkpointed, if_small, ranked
 
 
 def draw(key: Column, seed: int = 0) -> Column:
@@ -48,3 +48,25 @@ def shards(df: DataFrame, key: str, n: int) -> DataFrame:
 def batched_by_length(df: DataFrame, length: Column, partitions: int) -> DataFrame:
     """Rows of like length side by side, for batches that pad little."""
     return df.withColumn("__len", length).repartitionByRange(partitions, "__len").sortWithinPartitions("__len").drop("__len")
+
+
+def split_at(df: DataFrame, order: list[Column], cuts: list[int]) -> DataFrame:
+    """``part``: how many of the cuts (places from 0 in the order) a row's place has reached."""
+    placed = ranked(df, order, "__place")
+    return placed.withColumn("part", sum(((F.col("__place") >= c).cast("int") for c in cuts), F.lit(0))).drop("__place")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """``split``: train for floor(n * fraction) rows of each stratum in a random order, test for the rest.
+
+    Places within a stratum come from one global order, so that a large stratum is no one task's work.
+    """
+    placed = checkpointed(ranked(df.withColumn("__draw", draw(F.col(key), seed)), [F.col(stratum), F.col("__draw"), F.col(key)], "__place"))
+    sums = placed.groupBy(F.col(stratum).alias("__stratum")).agg(F.min("__place").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    train = F.col("__place") - F.col("__start") < F.floor(F.col("__n") * fraction + 1e-9)
+    return placed.join(if_small(sums), F.col(stratum).eqNullSafe(F.col("__stratum"))).withColumn("split", F.when(train, "train").otherwise("test")).drop("__draw", "__place", "__stratum", "__start", "__n")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n random rows, or all if there are fewer; each task keeps n."""
+    return df.withColumn("__draw", draw(F.col(key), seed)).orderBy("__draw", key).limit(n).drop("__draw")

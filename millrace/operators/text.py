@@ -33,6 +33,15 @@ def messages(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", assistant))])
 
 
+def split_recursively(text: Column, size: int) -> Column:
+    """Pieces of at most ``size`` characters: paragraphs where they fit, else their sentences, else stretches of that size. Blank pieces are left out."""
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda k: F.substring(t, k * size + 1, F.lit(size)))
+    whole = lambda t: F.array(F.trim(t))
+    sentences = lambda t: F.flatten(F.transform(F.split(F.trim(t), r"(?<=[.!?]) "), lambda x: F.when(F.length(x) <= size, whole(x)).otherwise(cut(x))))
+    parts = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.when(F.length(F.trim(x)) <= size, whole(x)).otherwise(sentences(x))))
+    return F.filter(parts, lambda x: F.trim(x) != "")
+
+
 class _Sections(HTMLParser):
     """Text of each element with an id that stands in ``<section>``, without that of sections inside it."""
 
@@ -73,3 +82,12 @@ def sections(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
             yield pd.DataFrame(out, columns=["source", "text"])
 
     return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "source string, text string")
+
+
+def page_parts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, status and blocks of each page: ``success`` with the texts of its headings and paragraphs, ``empty`` for no content, ``unsupported_format`` for what is no markup."""
+    body = F.col(html).cast("string")
+    inner = F.regexp_extract_all(body, F.lit(r"(?is)<(?:h[1-6]|p|li)\b[^>]*>([^<]*)"), 1)
+    blocks = F.filter(F.transform(inner, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    status = F.when(F.coalesce(F.trim(body), F.lit("")) == "", "empty").when(~body.rlike("<[a-zA-Z!]"), "unsupported_format").otherwise("success")
+    return pages.select(key, status.alias("status"), F.when(status == "success", blocks).otherwise(F.array().cast("array<string>")).alias("blocks"))

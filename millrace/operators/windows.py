@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, ranked
+from ..session import checkpointed, if_small, ranked
 
 
 def placed(df: DataFrame, series: str, order: list[str], name: str = "i") -> DataFrame:
@@ -51,10 +51,19 @@ def resample(df: DataFrame, at: str, value: str, minutes: int) -> DataFrame:
 
 
 def segment_flags(df: DataFrame, series: str, order: list[str], by: list[str]) -> DataFrame:
-    """``is_start``: true at a series' first row and where any of ``by`` changes."""
-    w = Window.partitionBy(series).orderBy(*order)
-    same = None
-    for c in by:
-        one = F.lag(F.struct(c)).over(w).eqNullSafe(F.struct(c))
-        same = one if same is None else same & one
-    return df.withColumn("is_start", ~same)
+    """``is_start``: true at a series' first row and where any of ``by`` changes. Each row meets the one before it by its place in a global order."""
+    rows = checkpointed(ranked(df, [F.col(series), *map(F.col, order)], "__place"))
+    before = rows.select((F.col("__place") + 1).alias("__place"), F.struct(series, *by).alias("__before"))
+    return rows.join(before, "__place", "left").withColumn("is_start", ~F.col("__before").eqNullSafe(F.struct(series, *by))).drop("__place", "__before")
+
+
+def encoder_decoder_windows(df: DataFrame, series: str, order: list[str], value: str, length: int, context: int, horizon: int, stride: int = 1, block: int = 1024) -> DataFrame:
+    """series, start, x = [start, start + length) and y = [start + length - context, start + length + horizon); the last start is the last whose y is full."""
+    w = sliding_windows(df, series, order, value, length, horizon, stride, block)
+    return w.select(series, "start", F.col("past").alias("x"), F.concat(F.slice("past", length - context + 1, context) if context else F.array().cast(w.schema["past"].dataType), "future").alias("y"))
+
+
+def z_scored(df: DataFrame, series: str, value: str, name: str = "z") -> DataFrame:
+    """``name``: the value's distance from its series' mean in deviations (of the population); 0 in a series that does not vary."""
+    per = df.groupBy(series).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    return df.join(if_small(per), series, "left").withColumn(name, F.when(F.col("__std") > 0, (F.col(value) - F.col("__mean")) / F.col("__std")).otherwise(F.lit(0.0))).drop("__mean", "__std")

@@ -1,6 +1,6 @@
 """Queries of the millrace analytics library."""
 
-from . import relational, retrieval
+from . import features, relational, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "relational", "retrieval"]
+__all__ = ["QUERIES", "SQL", "features", "relational", "retrieval"]

@@ -57,7 +57,14 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("name", F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM o),
+c AS (SELECT doc_id, len AS n, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS w FROM o) GROUP BY 1, 2, 3),
+d AS (SELECT w, count(*) AS df FROM c GROUP BY w),
+s AS (SELECT q.doc_id AS query_id, c.doc_id, round(sum(ln(1 + (t.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * c.tf * 2.2::DOUBLE / (c.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * c.n / t.mean))), 9) AS score FROM c q JOIN c ON q.w = c.w JOIN d ON d.w = c.w, t WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 10
+""")
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents by BM25 for every row whose id is divisible by 50."""
     docs = table(spark, sf_dir, "documents")

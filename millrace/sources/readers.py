@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +29,19 @@ def read_files(spark: SparkSession, path: str, kind: str = "parquet", *, schema:
     return picked.withColumn("path", df["_metadata.file_path"]) if paths else picked
 
 
+def where_partition(df: DataFrame, columns: list[str], keep: Callable[[dict], bool]) -> DataFrame:
+    """Rows of the partitions whose values (``year=2024/month=05``) a function of Python keeps. Its answers become a filter on
+    partition columns, so that files of other partitions are not read; the values, one row for each partition, come to the driver."""
+    kept = [r for r in df.select(*columns).distinct().collect() if keep(r.asDict())]
+    chosen = F.lit(False)
+    for r in kept:
+        one = F.lit(True)
+        for c in columns:
+            one = one & F.col(c).eqNullSafe(F.lit(r[c]))
+        chosen = chosen | one
+    return df.filter(chosen)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "text")
 
@@ -48,7 +63,9 @@ def from_items(spark: SparkSession, items: list) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of FASTA files: sequence_id, organism_id (UNKNOWN where the header has none), description, sequence, length."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    # A record begins with ">" at the start of a line; the first of a file keeps its sign.
+    lines = spark.read.option("lineSep", "\n>").text(path)
+    records = lines.select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim("value") != "")
     head = F.trim(F.regexp_replace(F.split("value", "\n", 2)[0], "\r", ""))
     body = F.regexp_replace(F.coalesce(F.get(F.split("value", "\n", 2), 1), F.lit("")), r"\s", "")
     name = F.split(head, r"\s+", 2)
@@ -62,9 +79,33 @@ def spread_by_file(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.withColumn("__file", F.xxhash64(df["_metadata.file_path"], F.lit(seed))).repartitionByRange("__file").drop("__file")
 
 
+def read_voc(spark: SparkSession, path: str) -> DataFrame:
+    """Annotations in Pascal VOC's XML, a file each: path, width, height, boxes (xmin, ymin, xmax, ymax) and labels."""
+    return voc_boxes(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "xml").select("xml", F.col("_metadata.file_path").alias("path")), "xml")
+
+
+def voc_boxes(df: DataFrame, xml: str) -> DataFrame:
+    """The table with an annotation's width, height, boxes and labels in place of its XML."""
+    ends = [F.transform(F.xpath(xml, F.lit(f"annotation/object/bndbox/{c}/text()")), lambda x: x.cast("double")) for c in ("xmin", "ymin", "xmax", "ymax")]
+    size = [F.xpath_int(xml, F.lit(f"annotation/size/{c}")).alias(c) for c in ("width", "height")]
+    return df.select(*[c for c in df.columns if c != xml], *size, F.transform(F.arrays_zip(*[e.alias(f"e{i}") for i, e in enumerate(ends)]), lambda z: F.array(*[z[f"e{i}"] for i in range(4)])).alias("boxes"), F.xpath(xml, F.lit("annotation/object/name/text()")).alias("labels"))
+
+
+def valid_images(df: DataFrame, content: str) -> DataFrame:
+    """Rows whose bytes begin as a PNG, JPEG, GIF or BMP file; nulls and empty ones go."""
+    head = F.hex(F.substring(content, 1, 4))
+    return df.filter(F.coalesce(F.startswith(head, F.lit("89504E47")) | F.startswith(head, F.lit("FFD8FF")) | F.startswith(head, F.lit("47494638")) | F.startswith(head, F.lit("424D")), F.lit(False)))
+
+
 class _Slice(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
+    def __init__(self, start: int, end: int, at: int) -> None:
+        self.start, self.end, self.at = start, end, at
+
+
+def opened(path: str):
+    """A file to read bytes from, by a path or a URI that Arrow's file systems know."""
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
 
 
 class SlicedFile(DataSource):
@@ -90,15 +131,20 @@ class _SlicedReader(DataSourceReader):
         self.start, self.end = int(options.get("start", 0)), int(options["end"]) if "end" in options else None
 
     def partitions(self) -> list[_Slice]:
-        end = self.end
-        if end is None:
-            with open(self.path, "rb") as f:
-                end = sum(1 for _ in f)
-        return [_Slice(k, min(k + self.rows, end)) for k in range(self.start, end, self.rows)]
+        """Slices with the place in the file where each begins; the file is gone through once, line by line."""
+        out, at, i = [], 0, 0
+        with opened(self.path) as f:
+            for line in io.BufferedReader(f):
+                if self.end is not None and i >= self.end:
+                    break
+                if i >= self.start and (i - self.start) % self.rows == 0:
+                    out.append(_Slice(i, i + self.rows, at))
+                at += len(line)
+                i += 1
+        return [_Slice(p.start, min(p.end, i), p.at) for p in out]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        from itertools import islice
-
-        with open(self.path, encoding="utf-8") as f:
-            for i, line in enumerate(islice(f, partition.start, partition.end), partition.start):
-                yield i, line.rstrip("\n")
+        with opened(self.path) as f:
+            f.seek(partition.at)
+            for i, line in zip(range(partition.start, partition.end), io.BufferedReader(f), strict=False):
+                yield i, line.decode("utf-8").rstrip("\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -28,17 +28,33 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def write_blobs(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """A file per row in a folder that all executors share; a retried task writes the same file again."""
+    """A file per row in a folder (a path or a URI that Arrow's file systems know) that all executors share; a retried task writes the same file again."""
 
     def run(rows: Iterator[Row]) -> None:
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(inner, recursive=True)
         for r in rows:
-            own = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(own, "wb") as f:
+            own = f"{inner}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(own) as f:
                 f.write(bytes(r[1] or b""))
-            os.replace(own, os.path.join(folder, os.path.basename(str(r[0]))))
+            system.move(own, f"{inner}/{str(r[0]).rsplit('/', 1)[-1]}")
 
     df.select(name, content).foreachPartition(run)
+
+
+def write_batches(df: DataFrame, maker: Callable[[], Callable[[list[Row]], None]], size: int = 1000) -> None:
+    """Batches of rows through a writer that each task makes once, such as a client of a store outside. A retried task sends its batches again: let the writer upsert."""
+
+    def run(rows: Iterator[Row]) -> None:
+        from itertools import islice
+
+        write = None
+        while batch := list(islice(rows, size)):
+            write = write or maker()
+            write(batch)
+
+    df.foreachPartition(run)

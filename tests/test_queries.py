@@ -17,4 +17,4 @@ def test_query(spark, tiny, con, name):
     if name in SQL:
         assert differing(df, con, SQL[name]) == ""
     else:
-        assert df.columns and df.count() >= 0
+        assert name == "html_sections" and df.columns == ["source", "text"]  # the tables' pages have no sections; see section_texts
