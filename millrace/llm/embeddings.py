@@ -94,8 +94,17 @@ def fitted(dim: int, vectors: int, threshold: float) -> tuple[int, int]:
         codes = max(4, codes // 2)
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, np.float64) for r in raw])
+def packed(x: np.ndarray) -> list[bytes]:
+    """The bytes of each vector, in single precision where that loses nothing, else in double and scaled by its largest component, so that squares stay within range."""
+    with np.errstate(over="ignore", under="ignore"):
+        small = x.astype(np.float32)
+    exact = (small.astype(np.float64) == x).all(axis=1)
+    large = x / np.abs(x).max(axis=1, keepdims=True)
+    return [a.tobytes() if e else b.tobytes() for e, a, b in zip(exact, small, large, strict=True)]
+
+
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    x = np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -177,18 +186,19 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
                 if dim not in codes:
                     codes[dim] = Filters(int(dim), *plans[int(dim)])
                 x = np.stack([flat[i] for i in at])
-                # Scaling by the largest component keeps squares within range.
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                lists = codes[dim].decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                yield pd.DataFrame({"rep": batch["rep"].to_numpy()[at], "size": batch["size"].to_numpy()[at], "dim": int(dim), "x": [r.tobytes() for r in x], "filters": list(lists)})
+                raw = packed(x)
+                lists = codes[dim].decode(unit(raw, int(dim)))
+                kind = np.uint32 if codes[dim].codes ** codes[dim].blocks * len(codes[dim].books) < 1 << 32 else np.int64
+                yield pd.DataFrame({"rep": batch["rep"].to_numpy()[at], "size": batch["size"].to_numpy()[at], "dim": int(dim), "x": raw, "filters": list(lists), "held": [r.tobytes() for r in lists.astype(kind)], "wide": kind is np.int64})
 
-    held = written(classes.mapInPandas(decoded, "rep long, size long, dim int, x binary, filters array<long>"), "filters")
+    held = written(classes.mapInPandas(decoded, "rep long, size long, dim int, x binary, filters array<long>, held binary, wide boolean"), "filters")
     met = held.select("dim", F.explode("filters").alias("f")).groupBy("dim", "f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows_of = held.withColumn("f", F.explode("filters")).join(met, ["dim", "f"])
+    # A row goes out once for each direction, with its directions packed.
+    rows_of = held.withColumn("f", F.explode("filters")).drop("filters").join(met, ["dim", "f"])
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     placed = rows_of.withColumn("parts", parts).withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("dim", "f", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "own", "rep", "size", "x", "filters")
+    placed = placed.select("dim", "f", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "own", "rep", "size", "x", "held", "wide")
     dealt = placed.repartition(max(1, fan_out(spark)), "dim", "f", "p", "q").sortWithinPartitions("dim", "f", "p", "q", "rep")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +206,11 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
             keys = rows[["dim", "f", "p", "q"]].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             rep, size, part = rows["rep"].to_numpy(), rows["size"].to_numpy(), rows["own"].to_numpy()
-            raw, lists = rows["x"].to_numpy(), rows["filters"].to_numpy()
+            raw, lists = rows["x"].to_numpy(), [np.frombuffer(h, np.int64 if w else np.uint32).astype(np.int64) for h, w in zip(rows["held"], rows["wide"], strict=True)]
             counts: list[tuple[np.ndarray, ...]] = []
             for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
                 if hi - lo > 1:
-                    counts.append(verify(int(keys[lo, 1]), rep[lo:hi], size[lo:hi], unit(list(raw[lo:hi])), np.stack(lists[lo:hi]), part[lo:hi], int(keys[lo, 2]), int(keys[lo, 3]), threshold))
+                    counts.append(verify(int(keys[lo, 1]), rep[lo:hi], size[lo:hi], unit(list(raw[lo:hi]), int(keys[lo, 0])), np.stack(lists[lo:hi]), part[lo:hi], int(keys[lo, 2]), int(keys[lo, 3]), threshold))
             if counts:
                 who, n, a, b = (np.concatenate([c[i] for c in counts]).astype(np.int64) for i in range(4))
                 if len(who):
