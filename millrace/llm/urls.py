@@ -93,9 +93,9 @@ def segmented(name: str, logs: dict[str, float], total: float) -> list[str]:
 
 
 class NaiveBayes:
-    """Multinomial, with add-one smoothing; words of neither class count for nothing."""
+    """Multinomial, with add-one smoothing; words of neither class count for nothing. ``prior``: the share of URLs to block that is expected; 0.25 did best on held-out URLs."""
 
-    def __init__(self, block: list[list[str]], allow: list[list[str]], prior: float = 0.1) -> None:
+    def __init__(self, block: list[list[str]], allow: list[list[str]], prior: float = 0.25) -> None:
         counts = [Counter(w for x in texts for w in x) for texts in (block, allow)]
         known = {*counts[0], *counts[1]}
         self.odds = {w: math.log((counts[0][w] + 1) / (counts[0].total() + len(known))) - math.log((counts[1][w] + 1) / (counts[1].total() + len(known))) for w in known}
