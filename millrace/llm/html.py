@@ -51,8 +51,8 @@ def parse(page: str) -> Node:
     """The tree of block elements, in time linear in the page.
 
     Inline elements without names melt into their block; open ends are closed as browsers do. Contents of scripts,
-    styles, templates, titles and text areas are left out; a template, title or text area without an end counts as an
-    ordinary element, a script or style as one that goes on to the page's end.
+    styles, titles, text areas and of the element "template" are left out; where one of the last three has no end, it
+    counts as an ordinary element, and a script or style goes on to the page's end.
     """
     root = Node("#root", None)
     open_: list[tuple[str, Node]] = [("#root", root)]  # element name and the node that its text goes to
