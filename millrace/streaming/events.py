@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def late(df: DataFrame, at: str, delay: str | None) -> DataFrame:
@@ -30,3 +34,18 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     """Take what the source has now through the stream to Parquet files and stop; a rerun goes on where it left off."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
+
+
+def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n and total of all values of a key so far, whenever a trigger brings new ones (output mode ``update``). The state of a key is two numbers."""
+
+    def add(names: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + int(batch["v"].notna().sum()), total + float(batch["v"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [names[0]], "n": [n], "total": [total]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    plain = stream.select(key, F.col(value).cast("double").alias("v"))
+    return plain.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
