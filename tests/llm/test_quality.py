@@ -28,3 +28,34 @@ def test_joint_rejections_stay_within_the_limit(spark):
 
 def test_path_is_nested():
     assert all(b[m] <= a[m] for a, b in zip(quality.PATH, quality.PATH[1:]) for m in quality.GRID)
+
+
+def test_exact_binomial_bounds():
+    """Known one-sided bounds of Clopper and Pearson."""
+    import math
+
+    import pytest
+
+    assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
+    assert quality.upper_bound(1, 10, 0.05) == pytest.approx(0.394163, abs=1e-5)
+    assert quality.upper_bound(5, 5, 0.05) == quality.upper_bound(0, 0, 0.05) == 1.0
+    p = quality.upper_bound(7, 60, 0.01)  # just there seven or fewer have that probability
+    assert sum(math.comb(60, k) * p**k * (1 - p) ** (60 - k) for k in range(8)) == pytest.approx(0.01, rel=1e-6)
+
+
+def test_statistics_by_brute_force(spark, tiny):
+    import re
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        count = {}
+        for t in triples:
+            count[t] = count.get(t, 0) + 1
+        covered = {i + k for i, t in enumerate(triples) if count[t] > 1 for k in range(3)}
+        return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang")
+    got = {r["doc_id"]: tuple(r)[2:7] for r in quality.stats(docs).collect()}
+    assert got == {r["doc_id"]: plain(r["text"]) for r in docs.collect()}
