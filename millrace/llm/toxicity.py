@@ -23,9 +23,9 @@ from .common import written
 SLOTS = 1 << 19
 ORDERS = (3, 4, 5)
 #: Bound of the labelled sample by class.
-SAMPLE = {1: 4000, 0: 6000}
+SAMPLE = {1: 3000, 0: 5000}
 #: Slots that training keeps at most: those that tell the classes apart best (by the likelihood ratio). Others weigh nothing.
-KEPT = 30_000
+KEPT = 15_000
 SAMPLE_PARTS = 12
 
 
