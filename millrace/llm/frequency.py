@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a batch, up to 100 GB of texts; batches grow with the root of the size from there.
-BATCH_BYTES = 3 << 20
+#: Bytes of text in a batch, up to 100 GB of texts; batches grow with the root of the size from there. Small tables are
+#: dealt to so many batches, of so many bytes at least, so that there is work for several tasks.
+BATCH_BYTES, FEW, LEAST_BYTES = 3 << 20, 64, 1 << 18
 #: Hashes of a bucket, as counted in the batches' lists.
 BUCKET_HASHES = 500_000
 
@@ -37,7 +38,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def batches_of(total_bytes: int) -> int:
-    return 1 + int(total_bytes / (BATCH_BYTES * max(1.0, total_bytes / 1e11) ** 0.5))
+    size = BATCH_BYTES * max(1.0, total_bytes / 1e11) ** 0.5
+    return 1 + int(total_bytes / min(size, max(LEAST_BYTES, total_bytes / FEW)))
 
 
 def buckets_of(hashes: int) -> int:
