@@ -118,12 +118,14 @@ def prefixes(docs: DataFrame, ids: DataFrame, percent: int) -> tuple[DataFrame,
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough. texts: doc_id, text; a document may have several."""
-    many = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")).filter("parts > 1"), "many")
-    parts = F.coalesce("parts", F.lit(1))
-    one = pairs.join(if_small(many), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
-    one = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    beside = texts.join(if_small(many.withColumnRenamed("b", "doc_id")), "doc_id", "left").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("text").alias("text_b"))
-    two = one.join(beside, ["b", "part"])
+    two = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        # Either side may hold a document of very many pairs: its text goes to several tasks.
+        many = written(pairs.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")).filter("parts > 1"), "many")
+        parts = F.coalesce("parts", F.lit(1))
+        two = two.join(if_small(many), own, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+        dealt = texts.join(if_small(many.withColumnRenamed(own, "doc_id")), "doc_id", "left").select(F.col("doc_id").alias(own), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("text").alias(f"text_{own}"))
+        two = two.join(dealt, [own, "part"]).drop("part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,12 +207,25 @@ def survivors(entries: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def links(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of similar documents that connect all that are similar. heads: of ``prefixes``; texts: doc_id, text of those."""
-    entries = heads.select(F.col("doc_id").alias("doc"), "n", F.explode("hs").alias("h"))
+def to_least(docs: DataFrame, classes: DataFrame, keys: tuple[str, ...] = ("t1", "t2")) -> DataFrame:
+    """(a, b): each document and the least one of its class, where these differ. docs: doc_id and the keys; classes: the
+    keys, least and most. Hot classes are dealt to several tasks."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    several = classes.filter("most > least").select(*keys, "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = docs.select("doc_id", *keys, salt.alias("salt"))
+    return own.join(several, [*keys, "salt"]).filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+
+
+def links(heads: DataFrame, texts: DataFrame, percent: int, by_twos: bool = True) -> DataFrame:
+    """Pairs (a, b) of similar documents that connect all that are similar. heads: of ``prefixes``; texts: doc_id, text of
+    those. by_twos: similar documents of two shingles or more share two of their hashes ``hs``, or a rare one."""
+    every = heads.select(F.col("doc_id").alias("doc"), "n", F.explode("hs").alias("h"))
+    # Sets of one shingle are similar only to their like, and share just that one.
+    lone = F.lit(by_twos) & (F.col("n") == 1)
+    ones, entries = every.filter(lone).select(F.col("doc").alias("doc_id"), "h"), every.filter(~lone)
+    all_links = written(to_least(ones, ones.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), ("h",)), "links")
     lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     now = written(entries.join(lists, "h").select("h", "doc", "n", F.col("doc").alias("comp")), "index")
-    all_links = None
     for turn in range(ROUNDS):
         order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
         leaders = now.groupBy("h").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("s")).select("h", "s.b", "s.n_b", "s.comp_b")
@@ -223,10 +238,10 @@ def links(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             released(found)
             break
         # Components so far, and the lists that still hold several.
-        known = found if all_links is None else found.union(all_links)
+        known = found.union(all_links)
         joined = written(components(known).select(F.col("node").alias("doc"), F.col("component").alias("joined")), "joined")
         kept = written(known, "links")
-        released(found, *([all_links] if all_links is not None else []))
+        released(found, all_links)
         all_links = kept
         labelled = now.select("h", "doc", "n").join(if_small(joined), "doc", "left").select("h", "doc", "n", F.coalesce("joined", "doc").alias("comp"))
         several = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
@@ -236,7 +251,7 @@ def links(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     # What is left between components, exhaustively: rare shingles by themselves, frequent ones by twos.
     sizes = now.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.avg(F.col("n") * (100 - percent) / 100).alias("mean"))
     bits = heads.select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc", "n", "bits"])
-    full = written(now.join(sizes, "h").join(bits, ["doc", "n"]).select("h", "doc", "n", "comp", "bits", (F.col("m") > FREQUENT + FREQUENT_BY_PREFIX * F.col("mean")).alias("frequent")), "entries")
+    full = written(now.join(sizes, "h").join(bits, ["doc", "n"]).select("h", "doc", "n", "comp", "bits", (F.lit(by_twos) & (F.col("m") > FREQUENT + FREQUENT_BY_PREFIX * F.col("mean"))).alias("frequent")), "entries")
     released(now)
     single = full.filter("not frequent").select(F.col("h").alias("k1"), F.lit(-1).cast("long").alias("k2"), "doc", "n", "comp", "bits")
     hot = full.filter("frequent").groupBy("doc", "n", "comp", "bits").agg(F.array_sort(F.collect_set("h")).alias("hs")).filter(F.size("hs") > 1)
@@ -245,17 +260,15 @@ def links(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     left = written(survivors(single.unionByName(double), percent), "pairs")
     released(full)
     found = similar(left, texts, percent)
-    out = written(found if all_links is None else found.union(all_links), "links")
-    released(left, *([all_links] if all_links is not None else []))
+    out = written(found.union(all_links), "links")
+    released(left, all_links)
     return out
 
 
 def copies(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(a, b): each document and the least one of its text, where these differ and the text has words. Hot texts are dealt to several tasks."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    several = ids.filter("most > least").select("t1", "t2", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "t1", "t2", salt.alias("salt"))
-    return own.join(several, ["t1", "t2", "salt"]).filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    """(a, b): each document and the least one of its text, where these differ and the text has words."""
+    own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "t1", "t2")
+    return to_least(own, ids)
 
 
 def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:

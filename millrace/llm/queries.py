@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, html, jaccard, mixing, pieces, quality, suffixes, toxicity, urls
+from . import balls, chat, embeddings, html, jaccard, minhash, mixing, phrases, pieces, quality, suffixes, toxicity, urls
 from .common import table
 
 MIX_SEED = 20
@@ -54,8 +54,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segment(table(spark, sf_dir, "documents"), seed=PIECE_SEED)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op6_suffix_array_dedup, op7_toxicity, op8_ngram_jaccard_join, op9_chat_formatting, op10_sentencepiece)}
+    every = (op1_embedding_near_dedup, op2_html_extraction, op3_url_filters, op4_mixing, op5_quality_rules, op6_suffix_array_dedup, op7_toxicity, op8_ngram_jaccard_join, op9_chat_formatting, op10_sentencepiece)
+    return {f.__name__: f for f in (*every, op11_document_fingerprints, op12_centroid_clustering, op13_phrase_mining)}
 
 
 OP1 = """
@@ -121,5 +134,67 @@ FROM w
 """
 
 
+def op12_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Lloyd's rounds one after another, each against all centroids."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT i, vec_id, v, min(struct_pack(d := d, c := c)) AS s FROM (
+    SELECT i, vec_id, v, c, CAST(list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j]))) AS BIGINT) AS d FROM w CROSS JOIN c{r}
+  ) GROUP BY i, vec_id, v
+)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(t.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM (
+      SELECT s.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS u(j) GROUP BY ALL
+    ) GROUP BY c
+  ) t ON t.c = c{r}.c
+)"""
+    steps = [x for r in range(rounds) for x in (nearest.format(r=r), moved.format(r=r, n=r + 1))]
+    return f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
+w AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(e, lambda x: CAST(floor(1024 * greatest(least(x, 65536), -65536)) AS BIGINT)) AS v FROM e
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT v, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h FROM w ORDER BY h, v LIMIT {k})
+),
+{", ".join(steps)},
+{nearest.format(r=rounds)}
+SELECT vec_id, CAST(s.c AS INTEGER) AS cluster, s.d AS distance, CAST(sum(s.d) OVER (PARTITION BY s.c) AS BIGINT) AS cluster_inertia, CAST(sum(s.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = s.c
+"""
+
+
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS a(k), unnest(range(1, len(ws) - k + 2)) AS b(i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL HAVING c >= 30),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, c AS a FROM f WHERE k > 1),
+parts AS (
+  SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS x, array_to_string(ws[i + 1:], ' ') AS y FROM cand, unnest(range(1, k)) AS t(i)
+),
+scores AS (
+  SELECT parts.lang, parts.phrase, a, i, fx.c AS l, fy.c AS r, CAST(2000000::HUGEINT * a // (fx.c + fy.c) AS BIGINT) AS score
+  FROM parts JOIN f fx ON fx.lang = parts.lang AND fx.phrase = x JOIN f fy ON fy.lang = parts.lang AND fy.phrase = y
+),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longest FROM cand, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(i) GROUP BY ALL
+),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_ ON inner_.lang = best.lang AND inner_.phrase = best.phrase WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n ON n.lang = kept.lang
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op4_mixing": OP4, "op9_chat_formatting": OP9}
+    return {"op1_embedding_near_dedup": OP1, "op4_mixing": OP4, "op9_chat_formatting": OP9, "op12_centroid_clustering": op12_sql(), "op13_phrase_mining": OP13}

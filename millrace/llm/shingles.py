@@ -36,9 +36,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and begins of the words of bytes that end with a space; A-Z count as a-z."""
-    space = _SPACE[raw]
+def word_hashes(raw: np.ndarray, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and begins of the words of bytes that end with a space; A-Z count as a-z. parting: of each byte, whether it parts words."""
+    space = parting[raw]
     hashes, begins = [], []
     lo = 0
     while lo < len(raw):

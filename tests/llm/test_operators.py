@@ -132,3 +132,12 @@ def test_join_odd_rows(spark):
     rows = [(5, text), (5, text), (3, text), (None, text), (9, "quite another text of some seven words"), (9, text), (10, "quite another text of some seven words"), (11, " "), (12, " "), (13, None)]
     got = sorted((tuple(r) for r in jaccard.similar_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == sorted([(5, 26, 3), (5, 26, 3), (3, 26, 3), (None, 26, None), (9, 3, 3), (9, 26, 3), (10, 3, 3), (11, 0, 11), (12, 0, 12), (13, 0, 13)], key=str)
+
+
+def test_join_of_one_shingle_sets(spark):
+    """Equal sets of one shingle are linked, also where very many others hold that shingle; and a hub of least id."""
+    rows = [(i, f"a b c d e f{i}") for i in range(200)] + [(500, "a b c d e"), (501, "A  b c d e"), (502, "a b c d\te"), (503, "other five words are here"), (504, "Other five words are here")]
+    hub = [f"h{i}" for i in range(60)]
+    rows += [(600 + i, " ".join(hub[:30] + ([] if i == 0 else [f"n{i}"]) + hub[30:])) for i in range(300)]
+    got = sorted(tuple(r) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_join(rows)
