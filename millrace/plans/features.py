@@ -16,6 +16,7 @@ from ..operators import text as chunks
 from ..session import table
 from ..sources import readers
 from ..streaming import events as streams
+from ..streaming import joins as stream_joins
 from .registry import query
 
 
@@ -436,3 +437,24 @@ def retrieve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = near.join(labels, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     again = F.round(0.7 * F.col("score") + F.when(F.col("label") == F.col("own"), 0.3).otherwise(0.0), 6)
     return search.reranked(both.filter("label <= 7").withColumn("score", again), "query_id", "vec_id", 3).select("query_id", "vec_id", "score")
+
+
+@query("""
+SELECT c.event_id AS click_id, p.event_id AS purchase_id, date_diff('microsecond', c.ts, p.ts) AS apart FROM events c JOIN events p
+ON c.user_id = p.user_id AND p.ts >= c.ts - INTERVAL 30 MINUTE AND p.ts <= c.ts + INTERVAL 60 MINUTE WHERE c.event_type = 'click' AND p.event_type = 'purchase'
+""")
+def joined_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with their user's purchases from half an hour before to an hour after."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    side = lambda kind, id, at: events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(id), F.col("ts").alias(at))
+    found = stream_joins.joined_within(side("click", "click_id", "clicked"), side("purchase", "purchase_id", "bought"), ["user_id"], ("clicked", "bought"), 1800, 3600)
+    return found.select("click_id", "purchase_id", (F.unix_micros("bought") - F.unix_micros("clicked")).alias("apart"))
+
+
+@query("""
+SELECT v.event_id AS id, epoch_us(v.ts) AS asked_at, (SELECT min(epoch_us(p.ts)) FROM events p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR) AS answered_at
+FROM events v WHERE v.event_type = 'view'
+""")
+def answered_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every view with its user's first purchase within two hours, if there is one."""
+    return stream_joins.answered(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_type = 'view'", "event_type = 'purchase'", 7200)

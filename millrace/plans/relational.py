@@ -320,3 +320,24 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sections(table(spark, sf_dir, "pages"))
+
+
+@query("""
+SELECT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a JOIN customer b ON a.s_acctbal < b.c_acctbal AND a.s_nationkey > b.c_nationkey WHERE a.s_suppkey % 10 = 0
+""")
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth supplier with the customers of a larger balance and a smaller nation: two inequalities and no equality."""
+    a = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("a"), "s_acctbal", "s_nationkey")
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), "c_acctbal", "c_nationkey")
+    return joins.theta_join(a, b, [("s_acctbal", "<", "c_acctbal"), ("s_nationkey", ">", "c_nationkey")]).select("a", "b")
+
+
+@query("""
+SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.ts < b.ts AND a.ts + INTERVAL 3 SECOND > b.ts WHERE a.event_type = 'error' AND b.event_type = 'purchase'
+""")
+def theta_join_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors with the purchases of any user less than three seconds after."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    a = events.filter("event_type = 'error'").select(F.col("event_id").alias("a"), F.col("at").alias("a_at"), (F.col("at") + 3_000_000).alias("a_end"))
+    b = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("b"), F.col("at").alias("b_at"))
+    return joins.theta_join(a, b, [("a_at", "<", "b_at"), ("a_end", ">", "b_at")]).select("a", "b")
