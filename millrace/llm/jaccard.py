@@ -234,6 +234,7 @@ def links(heads: DataFrame, texts: DataFrame, percent: int, by_twos: bool = True
         best = written(votes.groupBy("a").agg(F.max(F.struct("votes", F.struct(-F.col("b")).alias("r"), "b")).alias("s")).select("a", "s.b"), "asked")
         found = written(similar(best, texts, percent), "found")
         released(best)
+        tidy(heads.sparkSession)
         if not found.head(1):
             released(found)
             break
@@ -248,6 +249,7 @@ def links(heads: DataFrame, texts: DataFrame, percent: int, by_twos: bool = True
         after = written(labelled.join(several, "h"), "index")
         released(now, joined)
         now = after
+        tidy(heads.sparkSession)
     # What is left between components, exhaustively: rare shingles by themselves, frequent ones by twos.
     sizes = now.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.avg(F.col("n") * (100 - percent) / 100).alias("mean"))
     bits = heads.select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc", "n", "bits"])
@@ -259,6 +261,7 @@ def links(heads: DataFrame, texts: DataFrame, percent: int, by_twos: bool = True
     double = first.select("k1", F.explode(F.slice("hs", F.col("i") + 2, F.size("hs"))).alias("k2"), "doc", "n", "comp", "bits")
     left = written(survivors(single.unionByName(double), percent), "pairs")
     released(full)
+    tidy(heads.sparkSession)
     found = similar(left, texts, percent)
     out = written(found.union(all_links), "links")
     released(left, all_links)
