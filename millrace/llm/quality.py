@@ -111,14 +111,16 @@ def cutoffs(scored: DataFrame, labels: DataFrame, *, key: str = "doc_id", label:
 
     ``limit`` bounds the false-rejection rate of a stratum by all ratios together; ``risk`` is
     the probability that any stratum's bound fails. Good documents that base rules reject take no part.
-    Labels are counted once a document; a document labelled both ways counts as good.
+    A document counts once, whatever its rows and labels: one labelled both ways as good, one of several texts by the strictest.
     """
     good = labels.filter(F.col(label) == 1).select(F.col(key).cast("long").alias("doc_id")).distinct()
     held = scored.filter("not base_failed").join(good, "doc_id", "left_semi")
     steps = [functools.reduce(Column.__or__, [F.col(m) > F.lit(c) for m, c in step.items()]) for step in PATH]
-    counts = F.array(*[F.sum(over.cast("long")) for over in steps]).alias("rejected")
+    # The bounds are of independent draws: a document counts once in a stratum, however many rows it has, by the strictest of them.
+    once = held.groupBy("lang", "doc_id").agg(*[F.max(over.cast("long")).alias(f"over{i}") for i, over in enumerate(steps)])
+    counts = F.array(*[F.sum(f"over{i}") for i in range(len(steps))]).alias("rejected")
     # The count of strata is needed for the correction; a row per stratum.
-    table = written(held.groupBy("lang").agg(F.count(F.lit(1)).alias("n_good"), counts), "holdout")
+    table = written(once.groupBy("lang").agg(F.count(F.lit(1)).alias("n_good"), counts), "holdout")
     each = risk / max(1, table.count())
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

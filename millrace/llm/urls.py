@@ -38,6 +38,8 @@ questions company product event government law research paper club hospital foru
 FIXED_SHARE = 2000
 #: Letters of a word of the lexicon at most. Runs of letters that are no word are of any length.
 LONGEST = 32
+#: Letters of a name whose substrings are looked up together.
+STRETCH = 512
 #: Names of so many rows are dealt to several tasks where they meet their words.
 HOT_ROWS = 2000
 LETTERS = r"\p{L}+"
@@ -132,25 +134,20 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
     total += weight * len({*WORDS})
     every = counts.select("w", F.col("c").cast("double").alias("c")).union(fixed.select("w", F.lit(weight))).groupBy("w").agg(F.sum("c").alias("c"))
 
-    def substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whose, found = [], []
-        for name in (x for batch in batches for x in batch["name"]):
-            own = {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)}
-            whose += [name] * len(own)
-            found += own
-            if len(found) > 20_000:
-                yield pd.DataFrame({"name": whose, "w": found})
-                whose, found = [], []
-        yield pd.DataFrame({"name": whose, "w": found})
-
-    parts = names.select("name").mapInPandas(substrings, "name string, w string")
-    own = parts.join(every, "w").groupBy("name").agg(F.collect_list(F.struct("w", "c")).alias("known"))
+    # Names are numbered, and long ones looked up by overlapping stretches, so that a row is a number and a word.
+    numbered = written(names.select("name", F.monotonically_increasing_id().alias("id")), "numbered")
+    stretch = F.substring("name", F.col("k") * STRETCH + 1, F.lit(STRETCH + LONGEST - 1))
+    stretches = numbered.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("name") - 1) / STRETCH).cast("int")))).select("id", stretch.alias("s"))
+    starts = stretches.select("id", "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
+    words_at = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("s") - F.col("i") + 1)), lambda n: F.substring(F.col("s"), F.col("i"), n))
+    parts = starts.select("id", F.explode(words_at).alias("w")).distinct()
+    own = parts.join(every, "w").groupBy("id").agg(F.collect_list(F.struct("w", "c")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def cut(name: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([segmented(x, {} if k is None else {e["w"]: math.log(e["c"] / total) for e in k}, total) for x, k in zip(name, known, strict=True)])
 
-    return names.join(own, "name", "left").select("name", cut("name", "known").alias("words"))
+    return numbered.join(own, "id", "left").select("name", cut("name", "known").alias("words"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *, labelled: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:

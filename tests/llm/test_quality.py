@@ -16,6 +16,18 @@ def test_small_stratum_gets_cutoffs(spark):
     assert all(got["fr"][f"max_{m}"] is None for m in quality.GRID)  # 200 good documents do not show a rate below 2 %
 
 
+def test_repeated_rows_prove_nothing(spark):
+    """Bounds are of documents: thirty of them give no cutoff, however often each stands there, and the strictest of an id's texts counts."""
+    once = [(i, "en", False, 0.0, 0.0, 0.0, 5.0) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] * 3, "doc_id long, quality int")
+    for times in (1, 10):
+        got = quality.cutoffs(spark.createDataFrame(once * times, SCORED), labels).first()
+        assert all(got[f"max_{m}"] is None for m in quality.GRID)
+    many = [(i, "en", False, 0.0, 0.0, 0.0, 5.0) for i in range(300)] + [(i, "en", False, 9.0, 0.0, 0.0, 5.0) for i in range(20)]
+    known = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    assert all(quality.cutoffs(spark.createDataFrame(many, SCORED), known).first()[f"max_{m}"] is None for m in quality.GRID)
+
+
 def test_joint_rejections_stay_within_the_limit(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "en", False, *(float(v) for v in rng.exponential([0.05, 0.05, 0.05, 2.0]))) for i in range(3000)]

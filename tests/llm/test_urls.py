@@ -3,10 +3,13 @@
 import itertools
 import math
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import urls
+from millrace.llm.common import table
 
 
 def all_cuts(name):
@@ -52,5 +55,38 @@ def test_rows_of_a_hot_host_and_odd_urls(spark, monkeypatch):
     assert (by[None]["rule"], by[None]["verdict"]) == ("org/es/", "block")
 
 
+def test_long_names_of_random_letters(spark, monkeypatch):
+    """A name is segmented whole, whatever stretches it is looked up by."""
+    rng = np.random.default_rng(4)
+    name = "".join(chr(97 + x) for x in rng.integers(0, 26, 200_000))
+    pages = spark.createDataFrame([(1, f"http://{name}.net/x", None), (2, "http://cheapcasinobonus.com/", "<p>cheap bonus</p>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["words"] for r in urls.judge(pages).collect()}
+    assert "".join(got[1]) == name + "netx"
+    monkeypatch.setattr(urls, "STRETCH", 7)
+    few = {r["page_id"]: r["words"] for r in urls.judge(pages.withColumn("url", F.substring("url", 1, 3000))).collect()}
+    monkeypatch.setattr(urls, "STRETCH", 5000)
+    assert few == {r["page_id"]: r["words"] for r in urls.judge(pages.withColumn("url", F.substring("url", 1, 3000))).collect()}
+
+
+def test_host_path_and_rule_of_the_whole_table(spark, tiny):
+    """Against a plain reckoning of the contract."""
+    pages = table(spark, tiny, "pages").select("page_id", "url", "html")
+    odd = ["", "x", "http://", "://A.b?c/d", "http://EXAMPLE.com/en/7?x", "ftp://a.example.com#/en/7", "http://net/de/", "http://x.example.net/de/8/9", "http://notexample.net/de/8", "http://a.org/es", "http://a.org/es/#"]
+    every = pages.unionByName(spark.createDataFrame([(-i, u, None) for i, u in enumerate(odd, 1)], pages.schema)).collect()
+
+    def plain(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(h) + len(p), h + p) for _, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fits)[1] if fits else None
+
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urls.judge(spark.createDataFrame(every, pages.schema)).collect()}
+    assert got == {r["page_id"]: plain(r["url"]) for r in every}
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
