@@ -1,6 +1,6 @@
 """Queries of the millrace analytics library."""
 
-from . import features, learning, relational, retrieval
+from . import features, learning, relational, retrieval, stores
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "features", "learning", "relational", "retrieval"]
+__all__ = ["QUERIES", "SQL", "features", "learning", "relational", "retrieval", "stores"]

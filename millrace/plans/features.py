@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import aggregates, functions, joins, order, scale, search, windows
+from ..operators import aggregates, functions, joins, order, scale, search, splitter, windows
 from ..operators import text as chunks
 from ..session import table
 from ..sources import readers
@@ -458,3 +458,55 @@ FROM events v WHERE v.event_type = 'view'
 def answered_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every view with its user's first purchase within two hours, if there is one."""
     return stream_joins.answered(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_type = 'view'", "event_type = 'purchase'", 7200)
+
+
+def split_sql(size: int, overlap: int, measure: str, where: str = "true") -> str:
+    """Recursive splitting level by level, then packing part by part. measure: the size of the text ``t`` in SQL."""
+
+    def level(n: int, separator: str, of: str) -> str:
+        parts = f"string_split(t, {separator})" if separator else "string_split(t, '')"
+        front = f"CASE WHEN i > 1 THEN {separator} ELSE '' END || " if separator else ""
+        return f"""p{n} AS MATERIALIZED (
+  SELECT doc_id, path AS parent, list_append(path, i) AS path, i, t, {measure} AS n FROM (
+    SELECT doc_id, path, i, {front}{parts}[i] AS t FROM {of}, unnest(range(1, len({parts}) + 1)) AS u(i)
+  ) WHERE t <> ''
+)"""
+
+    large = lambda n: f"(SELECT doc_id, path, t FROM p{n} WHERE n >= {size})"
+    return f"""
+WITH RECURSIVE p0 AS (SELECT doc_id, []::BIGINT[] AS path, text AS t FROM documents WHERE text IS NOT NULL AND {where}),
+{level(1, "chr(10) || chr(10)", "p0")}, {level(2, "chr(10)", large(1))}, {level(3, "' '", large(2))}, {level(4, "", large(3))},
+small AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, parent ORDER BY i) AS run FROM (
+    SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4
+  ) WHERE n < {size}
+),
+g AS MATERIALIZED (SELECT doc_id, parent, run, min(path) AS first, list(t ORDER BY i) AS ts, list(n ORDER BY i) AS ns FROM small GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, list_transform(range(0, len(ns) + 1), lambda k: coalesce(list_sum(ns[1:k]), 0)) AS upto FROM g),
+w AS (
+  SELECT doc_id, parent, run, first, ts, ns, upto, CAST(1 AS BIGINT) AS s, CAST(1 AS BIGINT) AS k, NULL::VARCHAR AS chunk, CAST(0 AS BIGINT) AS at FROM c
+  UNION ALL
+  SELECT doc_id, parent, run, first, ts, ns, upto,
+    CASE WHEN full_ THEN list_filter(range(s, k + 1), lambda x: upto[k] - upto[x] <= {overlap} AND (upto[k + 1] - upto[x] <= {size} OR x = k))[1] ELSE s END, k + 1,
+    CASE WHEN full_ OR k > len(ns) THEN array_to_string(ts[s:k - 1], '') END, s
+  FROM (SELECT *, k <= len(ns) AND s < k AND upto[k + 1] - upto[s] > {size} AS full_ FROM w WHERE k <= len(ns) + 1)
+),
+chunks AS (SELECT doc_id, first, at, k, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE chunk IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, at, k) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk FROM chunks WHERE chunk <> ''
+"""
+
+
+@query(split_sql(400, 50, "length(t)"))
+def recursive_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of up to 400 characters that overlap by up to 50."""
+    return splitter.split(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 400, 50).drop("text")
+
+
+_WORDS = "len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))"
+
+
+@query(split_sql(42, 0, _WORDS.format(t="t"), f"{_WORDS.format(t='text')} * 1.2 BETWEEN 20 AND 4000"))
+def recursive_word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of up to 42 words, of texts of 20 to 4,000 tokens at 1.2 a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return splitter.split(docs, "text", 42, by_words=True, limits=(20, 4000), weight=1.2).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, vector_index
+from ..operators import detection, factors, vector_index
 from ..session import checkpointed, table
 from .registry import query
 
@@ -100,3 +100,35 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among some labels, with a least score."""
     return _searched(spark, sf_dir, 5, candidates=100, where=F.col("label") < 5, least=0.9)
+
+
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' mean quantities of each supplier's goods; every seventh order is held out."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    own = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"), F.col("l_quantity").alias("rating"), (F.col("o_orderkey") % 7 == 0).alias("held"))
+    return own.groupBy("user", "item", "held").agg(F.avg("rating").alias("rating"))
+
+
+def factor_sql(rounds: int, penalty: float) -> str:
+    """Alternating least squares of one factor, round by round."""
+    half = "{t}{r} AS MATERIALIZED (SELECT {a}, sum(rating * f) / (sum(f * f) + {p} * count(*)) AS f FROM train JOIN {o} USING ({b}) GROUP BY {a})"
+    steps = []
+    for r in range(1, rounds + 1):
+        steps += [half.format(t="u", r=r, a='"user"', b="item", o=f"i{r - 1}", p=penalty), half.format(t="i", r=r, a="item", b='"user"', o=f"u{r}", p=penalty)]
+    return f"""
+WITH ratings AS MATERIALIZED (
+  SELECT o_custkey AS "user", l_suppkey AS item, o_orderkey % 7 = 0 AS held, avg(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+),
+train AS MATERIALIZED (SELECT * FROM ratings WHERE NOT held),
+i0 AS MATERIALIZED (SELECT item, (CAST('0x' || substr(md5('0:' || item || ':0'), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE AS f FROM (SELECT DISTINCT item FROM train)),
+{", ".join(steps)}
+SELECT "user", item, round(u.f * i.f, 4) AS predicted FROM ratings LEFT JOIN u{rounds} u USING ("user") LEFT JOIN i{rounds} i USING (item) WHERE held
+"""
+
+
+@query(factor_sql(3, 0.1))
+def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the held-out ratings by factors of one number each, which SQL can follow."""
+    ratings = _ratings(spark, sf_dir)
+    users, items = factors.fit(ratings.filter("not held"), rank=1, rounds=3)
+    return factors.predicted(ratings.filter("held").select("user", "item"), users, items).select("user", "item", F.round("predicted", 4).alias("predicted"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def read_files(spark: SparkSession, path: str, kind: str = "parquet", *, schema: StructType | str | None = None, columns: list[str] | None = None, paths: bool = False, suffix: str | None = None, **options) -> DataFrame:
@@ -74,11 +78,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(ids[0].alias("sequence_id"), organism.alias("organism_id"), F.coalesce(F.get(name, 1), F.lit("")).alias("description"), body.alias("sequence"), F.length(body).cast("int").alias("length"))
 
 
-def spread_by_file(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Rows dealt by their files in a random order of those."""
-    return df.withColumn("__file", F.xxhash64(df["_metadata.file_path"], F.lit(seed))).repartitionByRange("__file").drop("__file")
-
-
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
     """Annotations in Pascal VOC's XML, a file each: path, width, height, boxes (xmin, ymin, xmax, ymax) and labels."""
     return voc_boxes(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "xml").select("xml", F.col("_metadata.file_path").alias("path")), "xml")
@@ -148,3 +147,65 @@ class _SlicedReader(DataSourceReader):
             f.seek(partition.at)
             for i, line in zip(range(partition.start, partition.end), io.BufferedReader(f), strict=False):
                 yield i, line.decode("utf-8").rstrip("\n")
+
+
+class _File(InputPartition):
+    def __init__(self, path: str, place: int) -> None:
+        self.path, self.place = path, place
+
+
+class ShuffledFiles(DataSource):
+    """``shuffled``: Parquet files under a folder, in a random order of files that the seed fixes; a partition is a file, and rows keep their order in it.
+
+    Options: path, seed, columns (parted by commas; all without it). ``file_place`` is a file's place in the order, from 0.
+    Files are put in order before anything is read, so that nothing is shuffled between tasks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "shuffled"
+
+    def files(self) -> list[str]:
+        path = self.options["path"]
+        system, inner = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+        seed = self.options.get("seed", "0")
+        drawn = lambda f: hashlib.md5(f"{seed}:{f[len(inner) :]}".encode()).hexdigest()
+        return sorted(found, key=lambda f: (drawn(f), f))
+
+    def schema(self) -> StructType:
+        first = next(iter(self.files()), None)
+        known = from_arrow_schema(pq.read_schema(first, filesystem=self.system())) if first else StructType()
+        wanted = [c.strip() for c in self.options["columns"].split(",")] if "columns" in self.options else known.names
+        return StructType([*[known[c] for c in wanted], StructField("file_place", IntegerType())])
+
+    def system(self) -> fs.FileSystem:
+        path = self.options["path"]
+        return fs.FileSystem.from_uri(path)[0] if ":/" in path else fs.LocalFileSystem()
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _ShuffledReader(self, schema)
+
+
+class _ShuffledReader(DataSourceReader):
+    def __init__(self, source: ShuffledFiles, schema: StructType) -> None:
+        self.source, self.schema = source, schema
+
+    def partitions(self) -> list[_File]:
+        return [_File(f, i) for i, f in enumerate(self.source.files())]
+
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        target = to_arrow_schema(self.schema)
+        with self.source.system().open_input_file(partition.path) as f:
+            for b in pq.ParquetFile(f).iter_batches(columns=self.schema.names[:-1]):
+                own = [*[b.column(c) for c in self.schema.names[:-1]], pa.array([partition.place] * len(b), pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(own, target, strict=True)], schema=target)
+
+
+def shuffled_files(spark: SparkSession, path: str, *, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """Rows of Parquet files, files in a random order; with ``file_place``. An empty folder has no columns but that."""
+    spark.dataSource.register(ShuffledFiles)
+    reader = spark.read.format("shuffled").option("path", path).option("seed", seed)
+    return (reader.option("columns", ",".join(columns)) if columns else reader).load()
