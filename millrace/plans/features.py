@@ -484,15 +484,15 @@ small AS (
 g AS MATERIALIZED (SELECT doc_id, parent, run, min(path) AS first, list(t ORDER BY i) AS ts, list(n ORDER BY i) AS ns FROM small GROUP BY ALL),
 c AS MATERIALIZED (SELECT *, list_transform(range(0, len(ns) + 1), lambda k: coalesce(list_sum(ns[1:k]), 0)) AS upto FROM g),
 w AS (
-  SELECT doc_id, parent, run, first, ts, ns, upto, CAST(1 AS BIGINT) AS s, CAST(1 AS BIGINT) AS k, NULL::VARCHAR AS chunk, CAST(0 AS BIGINT) AS at FROM c
+  SELECT doc_id, parent, run, first, ts, ns, upto, CAST(1 AS BIGINT) AS s, CAST(1 AS BIGINT) AS k, NULL::VARCHAR AS chunk, CAST(0 AS BIGINT) AS since FROM c
   UNION ALL
   SELECT doc_id, parent, run, first, ts, ns, upto,
     CASE WHEN full_ THEN list_filter(range(s, k + 1), lambda x: upto[k] - upto[x] <= {overlap} AND (upto[k + 1] - upto[x] <= {size} OR x = k))[1] ELSE s END, k + 1,
     CASE WHEN full_ OR k > len(ns) THEN array_to_string(ts[s:k - 1], '') END, s
   FROM (SELECT *, k <= len(ns) AND s < k AND upto[k + 1] - upto[s] > {size} AS full_ FROM w WHERE k <= len(ns) + 1)
 ),
-chunks AS (SELECT doc_id, first, at, k, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE chunk IS NOT NULL)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, at, k) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk FROM chunks WHERE chunk <> ''
+chunks AS (SELECT doc_id, first, since, k, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE chunk IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, since, k) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk FROM chunks WHERE chunk <> ''
 """
 
 
