@@ -103,6 +103,33 @@ SELECT doc_id, text, lang, source, n_chars, CAST(n_copies AS INTEGER) AS n_copie
 FROM drawn, unnest(range(1, n_copies + 1)) AS c(copy)
 """
 
+OP6 = r"""
+WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM h, unnest(range(0, n - 49)) AS u(i)),
+m AS (SELECT s, min(doc_id) AS lo FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT g.doc_id, i FROM g JOIN m ON m.s = g.s WHERE g.doc_id > lo),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM b),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY ALL),
+k AS (SELECT doc_id, list_append(list_prepend(0, list(z ORDER BY a)), 0) AS zs, list(a ORDER BY a) AS starts, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 2), lambda j: substr(h, 2 * zs[j] + 1, 2 * (coalesce(list_append(starts, n)[j], n) - zs[j]))), '') END)) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws FROM documents
+),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 OP9 = """
 WITH c AS (
   SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), chr(10), ' '), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
@@ -171,7 +198,8 @@ WITH d AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
 n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS a(k), unnest(range(1, len(ws) - k + 2)) AS b(i)),
@@ -197,4 +225,4 @@ QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op4_mixing": OP4, "op9_chat_formatting": OP9, "op12_centroid_clustering": op12_sql(), "op13_phrase_mining": OP13}
+    return {"op1_embedding_near_dedup": OP1, "op4_mixing": OP4, "op6_suffix_array_dedup": OP6, "op8_ngram_jaccard_join": OP8, "op9_chat_formatting": OP9, "op12_centroid_clustering": op12_sql(), "op13_phrase_mining": OP13}
