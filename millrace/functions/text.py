@@ -99,3 +99,12 @@ def quality_rating(score: Column) -> Column:
 def issues(checks: dict[str, Column]) -> Column:
     """The names of the checks that hold, as a JSON list."""
     return F.to_json(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))
+
+
+def judged_score(answer: Column, least: float = 0.0, most: float = 10.0) -> Column:
+    """The score in a judge's answer: the number after the last "score" or "rating" (any case; ``Score: 4``, ``rating is 3.5/5``), else the answer itself if it is a number; null where there is none or it lies outside of the bounds."""
+    number = r"(-?\d+(?:\.\d+)?)"
+    said = F.regexp_extract_all(F.lower(answer), F.lit(rf"(?:score|rating)(?:\s+is)?\s*[:=]?\s*\**\s*{number}"), 1)
+    alone = F.regexp_extract(F.trim(answer), rf"^{number}$", 1)
+    value = F.coalesce(F.get(said, F.size(said) - 1), F.nullif(alone, F.lit(""))).try_cast("double")
+    return F.when(value.between(least, most), value)

@@ -90,3 +90,13 @@ def average_precision(df: DataFrame, label: Column, score: Column) -> DataFrame:
     per = df.groupBy((-score).alias("__s")).agg(F.sum((label == 1).cast("long")).alias("__p"), F.count(F.lit(1)).alias("__n"))
     steps = running(running(per.filter("__s is not null"), [F.col("__s")], F.col("__p"), "__tp"), [F.col("__s")], F.col("__n"), "__all")
     return steps.agg(F.try_divide(F.sum(F.col("__p") * F.col("__tp") / F.col("__all")), F.sum("__p")).alias("average_precision"))
+
+
+def sketches(df: DataFrame, by: list[str], values: dict[str, Column], size: int = 12) -> DataFrame:
+    """by and, for each value, a sketch of its distinct values (HyperLogLog of 2^size cells), to keep and to merge later."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(v, size).alias(n) for n, v in values.items()])
+
+
+def merged(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """by and, for each sketch, about how many distinct values the groups have together; the error is some 1.6 % for 2^12 cells, and none for few values. No rows are read again."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in names])

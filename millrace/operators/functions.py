@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -35,9 +36,9 @@ def map_with(df: DataFrame, maker: Callable[..., Callable[[pd.DataFrame], pd.Dat
 
 def flat_map(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
     """Any number of rows for each row, as dicts."""
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(",")]
         for batch in batches:
             yield pd.DataFrame([out for row in batch.to_dict("records") for out in function(row)], columns=names)
 

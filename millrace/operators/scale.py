@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import if_small, ranked
+from ..session import checkpointed, if_small, ranked
 
 
 def standard_scaled(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, ddof: int = 0) -> DataFrame:
@@ -21,6 +21,14 @@ def min_max_scaled(df: DataFrame, columns: list[str], least: float = 1e-8) -> Da
     return df.withColumns({c: (F.col(c) - one[c]["lo"]) / ((one[c]["hi"] or 0) - (one[c]["lo"] or 0) + least) for c in columns})
 
 
+def min_max_scaled_batches(df: DataFrame, columns: list[str], order: list[Column], size: int, least: float = 1e-8) -> DataFrame:
+    """Columns to 0..1 within batches of ``size`` rows, with ``batch``: a batch is what stands at ``size`` places in a row in an order that ``order`` makes unique, so that it is the same in every run. Nulls stay; a constant batch becomes 0."""
+    dealt = checkpointed(ranked(df, order, "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place"))
+    ends = dealt.groupBy(F.col("batch").alias("__batch")).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = {c: (F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}") + least) for c in columns}
+    return dealt.join(if_small(ends), F.col("batch") == F.col("__batch")).withColumns(scaled).select(*df.columns, "batch")
+
+
 def label_index(df: DataFrame, column: str, name: str) -> DataFrame:
     """``name``: the place, from 0, of the row's value among the sorted distinct values; null for null."""
     values = ranked(df.select(column).filter(F.col(column).isNotNull()).distinct(), [F.col(column)], name)

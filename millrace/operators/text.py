@@ -33,6 +33,12 @@ def messages(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", assistant))])
 
 
+def few_shot(system: Column, examples: list[tuple[str, str]], user: Column) -> Column:
+    """A chat that shows examples (question, answer) before it asks: the system's message, both sides of each example, the user's message."""
+    said = [("system", system), *[(r, F.lit(t)) for q, a in examples for r, t in (("user", q), ("assistant", a))], ("user", user)]
+    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in said])
+
+
 def split_recursively(text: Column, size: int) -> Column:
     """Pieces of at most ``size`` characters: paragraphs where they fit, else their sentences, else stretches of that size. Blank pieces are left out."""
     cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda k: F.substring(t, k * size + 1, F.lit(size)))

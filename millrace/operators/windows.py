@@ -12,7 +12,7 @@ def placed(df: DataFrame, series: str, order: list[str], name: str = "i") -> Dat
     """Each row's place in its series, from 0. Places come from a global ranking, so a long series is no one task's work."""
     all_ = checkpointed(ranked(df, [F.col(series), *map(F.col, order)], "__place"))
     starts = all_.groupBy(series).agg(F.min("__place").alias("__start"))
-    return all_.join(starts, series).withColumn(name, F.col("__place") - F.col("__start")).drop("__place", "__start")
+    return all_.join(if_small(starts), series).withColumn(name, F.col("__place") - F.col("__start")).drop("__place", "__start")
 
 
 def sliding_windows(df: DataFrame, series: str, order: list[str], value: str, past: int, horizon: int, stride: int, block: int = 1024) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import aggregates, functions, joins, order, scale, search, splitter, windows
+from ..operators import aggregates, embed, functions, joins, order, scale, search, splitter, windows
 from ..operators import text as chunks
-from ..session import table
+from ..session import running, table
 from ..sources import readers
 from ..streaming import events as streams
 from ..streaming import joins as stream_joins
@@ -125,10 +125,10 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(sum(n) OVER (ORDER BY event_type) / sum(n) OVER ()::DOUBLE, 9) AS upto FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def cumulative_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running shares of the classes, over a row for each class."""
-    per = aggregates.shares(table(spark, sf_dir, "events").select("event_type"), "event_type")
-    total = F.sum("n").over(W.orderBy("event_type").rowsBetween(W.unboundedPreceding, 0))
-    return per.select("event_type", F.round(total / F.sum("n").over(W.partitionBy()), 9).alias("upto"))
+    """Running shares of the classes, in ranges of classes."""
+    per = aggregates.shares(table(spark, sf_dir, "events").select("event_type"), "event_type").select("event_type", "n")
+    upto = running(per, [F.col("event_type")], F.col("n"), "upto")
+    return upto.join(F.broadcast(per.agg(F.sum("n").alias("total")))).select("event_type", F.round(F.col("upto") / F.col("total"), 9).alias("upto"))
 
 
 @query("SELECT user_id, arg_min(event_type, ts_event) AS first_type, max(value) AS top_value, array_to_string(list_sort(list(event_id)), ',') AS ids FROM (SELECT *, (epoch_us(ts), event_id) AS ts_event FROM events) GROUP BY user_id")
@@ -275,11 +275,12 @@ WITH g AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS m
 SELECT conv_id, len(ms) AS n, ms[1].role AS first_role, list_filter(ms, lambda m: m.role = 'user')[1].text AS asked, ms[-1].text AS answer FROM g WHERE NOT coalesce(contains(ms[3].text, 'e'), false)
 """)
 def chat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose third message does not hold a string, split by role."""
-    ms = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ms.alias("ms"))
-    kept = g.filter(~F.coalesce(F.contains(F.get("ms", 2)["content"], F.lit("e")), F.lit(False)))
-    return kept.select("conv_id", F.size("ms").cast("long").alias("n"), F.get("ms", 0)["role"].alias("first_role"), F.get(F.filter("ms", lambda m: m["role"] == "user"), 0)["content"].alias("asked"), F.element_at("ms", -1)["content"].alias("answer"))
+    """Conversations whose third message does not hold a string, split by role, without collecting any."""
+    place, said = F.struct("turn", "role", "text"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    users = F.when(F.col("role") == "user", place)
+    per = table(spark, sf_dir, "conversations").withColumn("i", said).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min(users).alias("user"), F.max(place).alias("last"), F.max(F.when(F.col("i") == 3, F.col("text"))).alias("third"))
+    kept = per.filter(~F.coalesce(F.contains("third", F.lit("e")), F.lit(False)))
+    return kept.select("conv_id", "n", F.col("first.role").alias("first_role"), F.col("user.text").alias("asked"), F.col("last.text").alias("answer"))
 
 
 @query("SELECT c_custkey, '[{\"role\":\"system\",\"content\":\"Help.\"},{\"role\":\"user\",\"content\":\"' || c_name || '\"},{\"role\":\"assistant\",\"content\":\"' || c_mktsegment || '\"}]' AS messages FROM customer")
@@ -510,3 +511,56 @@ def recursive_word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of up to 42 words, of texts of 20 to 4,000 tokens at 1.2 a word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return splitter.split(docs, "text", 42, by_words=True, limits=(20, 4000), weight=1.2).drop("text")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) // 500 AS batch FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, batch, round((l_quantity - min(l_quantity) OVER w) / (max(l_quantity) OVER w - min(l_quantity) OVER w + 1e-8), 6) AS l_quantity FROM r WINDOW w AS (PARTITION BY batch)
+""")
+def min_max_scaled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities scaled within batches of 500 rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    by = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")]
+    return scale.min_max_scaled_batches(rows, ["l_quantity"], by, 500).select("l_orderkey", "l_linenumber", "l_partkey", "batch", F.round("l_quantity", 6).alias("l_quantity"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS t FROM w),
+h AS (SELECT doc_id, CAST('0x' || substr(md5('0:' || t), 1, 13) AS BIGINT) AS h FROM t),
+c AS (SELECT doc_id, (h // 2) % 262144 AS slot, CAST(sum(1 - 2 * (h % 2)) AS BIGINT) AS c FROM h GROUP BY ALL HAVING sum(1 - 2 * (h % 2)) <> 0),
+p AS (SELECT doc_id, sign(c) * ln(1 + abs(c)::DOUBLE) AS w, CAST('0x' || substr(md5('0:' || slot || ':' || j), 1, 13) AS BIGINT) AS h FROM c, unnest(range(0, 4)) AS u(j)),
+x AS (SELECT doc_id, (h // 2) % 64 AS i, sum(w * (1 - 2 * (h % 2))) AS x FROM p GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(u.i AS INTEGER) AS i, round(coalesce(x.x / nullif(n.n, 0), 0), 5) AS x FROM (SELECT DISTINCT doc_id FROM documents) d, unnest(range(0, 64)) AS u(i)
+LEFT JOIN x ON x.doc_id = d.doc_id AND x.i = u.i LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of every document, a row for each component."""
+    vectors = embed.text_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return vectors.select("doc_id", F.posexplode("vector").alias("i", "x")).select("doc_id", "i", F.round("x", 5).alias("x"))
+
+
+@query("""
+SELECT c_custkey, score FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE (c_custkey % 6)::DOUBLE END AS score FROM customer) WHERE score >= 3
+""")
+def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores out of judges' answers in several forms, made of the customers; those of 3 and above stay."""
+    k = F.col("c_custkey")
+    n = (k % 6).cast("string")
+    answer = F.when(k % 4 == 0, F.concat(F.lit("Clear speech, score of others was 9. Score: "), n)).when(k % 4 == 1, F.concat(F.lit("**Rating is** fine.\nFinal rating: **"), n, F.lit("**/5"))).when(k % 4 == 2, F.concat(F.lit(" "), n, F.lit(".0\n"))).otherwise("no idea, maybe 4")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.judged_score(answer, 0, 5).alias("score")).filter("score >= 3")
+
+
+@query("SELECT s_suppkey, '[{\"role\":\"system\",\"content\":\"Help.\"},{\"role\":\"user\",\"content\":\"1+1\"},{\"role\":\"assistant\",\"content\":\"2\"},{\"role\":\"user\",\"content\":\"2+3\"},{\"role\":\"assistant\",\"content\":\"5\"},{\"role\":\"user\",\"content\":\"' || s_name || '\"}]' AS messages FROM supplier")
+def few_shot_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = chunks.few_shot(F.lit("Help."), [("1+1", "2"), ("2+3", "5")], F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(ms).alias("messages"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(DISTINCT user_id % 40) AS users, count(DISTINCT event_type) AS types FROM events GROUP BY 1")
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of each day out of sketches of its hours: few enough for sketches to be exact."""
+    hours = aggregates.sketches(table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts")), ["hour"], {"users": F.col("user_id") % 40, "types": F.col("event_type")})
+    days = aggregates.merged(hours.withColumn("day", F.date_trunc("day", "hour")), ["day"], ["users", "types"])
+    return days.select("day", "users", "types")
