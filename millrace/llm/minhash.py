@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,20 +108,29 @@ def strings(b: pa.RecordBatch, *names: str) -> list[tuple]:
 def marked(docs: DataFrame) -> DataFrame:
     """ROWS without edges: every text compared with its edited text and with the next in descending order of id.
 
-    Texts are range-partitioned and read in order once; the first and last of each range are kept aside, and the last
-    is compared with the first of the next range afterwards.
+    Texts are range-partitioned, each packed by itself, and read in order once; the first and last of each range are kept
+    aside, and the last is compared with the first of the next range afterwards.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("t1"), F.col("t2"), F.col("__place")]
-    dealt = docs.withColumns({"text": F.coalesce("text", F.lit("")), "__place": F.monotonically_increasing_id()})
-    dealt = dealt.repartitionByRange(fan_out(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "t1", "t2", "text", F.spark_partition_id().alias("part"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t1"), F.col("t2"), F.col("place")]
+    kinds = "doc_id long, t1 long, t2 long, place long, packed binary"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = pa.array([pack(encoded(t)) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], texts], names=[c.split()[0] for c in kinds.split(", ")])
+
+    dealt = docs.select("doc_id", "t1", "t2", F.monotonically_increasing_id().alias("place"), "text").mapInArrow(packed, kinds)
+    dealt = dealt.repartitionByRange(fan_out(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "t1", "t2", "packed", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         first = part = None
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             if not len(b):
                 continue
-            held += strings(b, "doc_id", "t1", "t2", "text")
+            held += [(*own, unpack(text).decode("utf-8", "surrogatepass")) for *own, text in strings(b, "doc_id", "t1", "t2", "packed")]
             if first is None:
                 first, part = held[0], b.column("part")[0].as_py()
             # Rows before the last have all they need; a text is compared with a bounded number of others at a time.
