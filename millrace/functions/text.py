@@ -35,7 +35,11 @@ def labelled(parts: dict[str, Column], length: int = 2048) -> Column:
 
 
 def contains_any(text: Column, keywords: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(keywords)), F.lit(False))
+    """Whether the lower-cased text holds one of some plain strings."""
+    found = F.lit(False)
+    for k in keywords:
+        found = found | F.contains(F.lower(text), F.lit(k))
+    return F.coalesce(found, F.lit(False))
 
 
 def priority(text: Column) -> Column:
