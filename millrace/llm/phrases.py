@@ -97,7 +97,7 @@ def least_code(least: int) -> int:
 
 
 def sent(own: pa.Table, beside: pa.Table, level: int, least: int, buckets: int) -> pa.Table:
-    """A batch's rows of SENT: packed lists of its distinct phrases of ``level`` words or, beyond the longest, all its
+    """A batch's rows of SENT. Up to level 3: packed lists of its distinct phrases of ``level`` words. At the last level: its
     phrases and words that may be frequent. own: batch, lang, text; beside: batch, level, bucket, codes of the levels below."""
     tokens = Tokens([encoded(t) for t in own.column("text").to_pylist()], own.column("lang").to_pylist())
     lists = Lists(tokens)
@@ -107,8 +107,7 @@ def sent(own: pa.Table, beside: pa.Table, level: int, least: int, buckets: int)
         told.setdefault(k.as_py(), []).append((b.as_py(), c.as_py()))
     rows: dict[str, list] = {"lang": [], "words": [], "phrase": [], "c": []}
 
-    def emit() -> None:
-        u, counts, place = lists.counted()
+    def emit(u: np.ndarray, counts: np.ndarray, place: np.ndarray) -> None:
         first = np.zeros(len(u), np.int64)
         first[place[::-1]] = lists.at[::-1]
         rows["lang"] += [tokens.langs[i] for i in tokens.lang[first]]
@@ -116,7 +115,7 @@ def sent(own: pa.Table, beside: pa.Table, level: int, least: int, buckets: int)
         rows["phrase"] += [tokens.phrase(at, lists.k) for at in first.tolist()]
         rows["c"] += counts.tolist()
 
-    for k in range(1, min(level, LONGEST) + 1):
+    for k in range(1, level + 1):
         if k > 1:
             lists.extend()
         u, counts, place = lists.counted()
@@ -125,12 +124,13 @@ def sent(own: pa.Table, beside: pa.Table, level: int, least: int, buckets: int)
         code = frequency.unpacked(u, buckets, told.get(k, []))
         some = code >= least_code(least)
         lists.kept(some[place])
-        if level > LONGEST:
-            emit()
-    if level <= LONGEST:
+        if level == LONGEST:
+            emit(*lists.counted())
+    if level < LONGEST:
         out = frequency.packed(batch, u, counts, buckets)
         n = len(out["batch"])
         return pa.table({**out, "lang": pa.nulls(n, pa.string()), "words": pa.nulls(n, pa.int32()), "phrase": pa.nulls(n, pa.string()), "c": pa.nulls(n, pa.int64())})
+    emit(u, counts, place)
     per = np.bincount(tokens.lang, minlength=len(tokens.langs))
     rows = {"lang": rows["lang"] + tokens.langs, "words": rows["words"] + [0] * len(per), "phrase": rows["phrase"] + [None] * len(per), "c": rows["c"] + per.tolist()}
     n = len(rows["c"])
@@ -149,10 +149,10 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
     dealt = written(docs.withColumn("__place", F.monotonically_increasing_id()).select(F.pmod(F.xxhash64("__place"), F.lit(n_batches)).alias("batch"), "lang", "text"), "texts")
     nothing = docs.sparkSession.createDataFrame([], "level int, " + frequency.CODES)
     told = nothing
-    for level in range(1, LONGEST + 2):
+    for level in range(1, LONGEST + 1):
         lists = written(frequency.cogrouped(dealt, told, level_work(level, least, buckets), SENT), "lists")
         tidy(docs.sparkSession)
-        if level <= LONGEST:
+        if level < LONGEST:
             codes = written(frequency.codes(lists), "codes").select(F.lit(level).alias("level"), "batch", "bucket", "codes")
             released(lists)
             told = told.union(codes)
