@@ -37,8 +37,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return known.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-def batches_of(total_bytes: int) -> int:
-    size = BATCH_BYTES * max(1.0, total_bytes / 1e11) ** 0.5
+def batches_of(total_bytes: int, batch_bytes: int = BATCH_BYTES) -> int:
+    size = batch_bytes * max(1.0, total_bytes / 1e11) ** 0.5
     return 1 + int(total_bytes / min(size, max(LEAST_BYTES, total_bytes / FEW)))
 
 

@@ -25,6 +25,8 @@ from .common import encoded, released, tidy, written
 from .shingles import mixed, word_hashes
 
 LONGEST = 4
+#: Bytes of text in a batch (see ``frequency``): a phrase is sent once from each batch that has it, so these are larger.
+BATCH_BYTES = 12 << 20
 #: Parts that each language's phrases are ranked in before the best of the parts are ranked together.
 SALTS = 64
 
@@ -39,8 +41,9 @@ class Tokens:
     """The words of some texts: hashes that tell languages apart, and positions with a gap between pieces."""
 
     def __init__(self, texts: list[bytes], langs: list[str]) -> None:
-        self.raw = b"\n".join(texts) + b"\n" if texts else b""
-        raw = np.frombuffer(self.raw, np.uint8)
+        joined = b"\n".join(texts) + b"\n" if texts else b""
+        raw = self.bytes = np.frombuffer(joined, np.uint8)
+        self.lower = joined.lower()
         self.langs = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.langs)}
         if not len(raw):
@@ -56,9 +59,18 @@ class Tokens:
         of_lang = word_hashes(np.frombuffer(b"".join(x.encode("utf-8", "surrogatepass").hex().encode() + b"- " for x in self.langs), np.uint8))[0]
         self.words = mixed(words + of_lang[self.lang] * _STEP) if len(words) else words
 
-    def phrase(self, at: int, k: int) -> str:
-        """The k words from word ``at`` on, in lower case (A-Z), with blanks between."""
-        return b" ".join(self.raw[b:e].lower() for b, e in zip(self.begins[at : at + k], self.ends[at : at + k], strict=True)).decode("utf-8", "surrogatepass")
+    def phrases(self, at: np.ndarray, k: int) -> list[str]:
+        """The k words from each of some words on, in lower case (A-Z), with blanks between."""
+        plain = np.full(len(at), True)  # one blank between words already
+        for j in range(k - 1):
+            end = self.ends[at + j]
+            plain &= (self.begins[at + j + 1] == end + 1) & (self.bytes[end] == 0x20)
+        lower = self.lower
+        out = [lower[b:e] for b, e in zip(self.begins[at].tolist(), self.ends[at + k - 1].tolist(), strict=True)]
+        for i in np.flatnonzero(~plain).tolist():
+            w = at[i]
+            out[i] = b" ".join(lower[b:e] for b, e in zip(self.begins[w : w + k], self.ends[w : w + k], strict=True))
+        return [x.decode("utf-8", "surrogatepass") for x in out]
 
 
 class Lists:
@@ -112,7 +124,7 @@ def sent(own: pa.Table, beside: pa.Table, level: int, least: int, buckets: int)
         first[place[::-1]] = lists.at[::-1]
         rows["lang"] += [tokens.langs[i] for i in tokens.lang[first]]
         rows["words"] += [lists.k] * len(u)
-        rows["phrase"] += [tokens.phrase(at, lists.k) for at in first.tolist()]
+        rows["phrase"] += tokens.phrases(first, lists.k)
         rows["c"] += counts.tolist()
 
     for k in range(1, level + 1):
@@ -144,7 +156,7 @@ def level_work(level: int, least: int, buckets: int) -> Callable[[pa.Table, pa.T
 def counted(docs: DataFrame, least: int) -> DataFrame:
     """lang, words, phrase and c, exactly: of the phrases of 1 to 4 words, all that occur ``least`` times in their language; words 0: its number of words. docs: lang, text."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_batches, buckets = frequency.batches_of(total), frequency.buckets_of(total // 6)
+    n_batches, buckets = frequency.batches_of(total, BATCH_BYTES), frequency.buckets_of(total // 6)
     # Rows are dealt by their place, which is written down once, so that repeated rows fill no batch and all levels see the same batches.
     dealt = written(docs.withColumn("__place", F.monotonically_increasing_id()).select(F.pmod(F.xxhash64("__place"), F.lit(n_batches)).alias("batch"), "lang", "text"), "texts")
     nothing = docs.sparkSession.createDataFrame([], "level int, " + frequency.CODES)
