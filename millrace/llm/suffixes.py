@@ -6,16 +6,19 @@ strings in a window (its anchor) is the same wherever the window stands. Runs of
 a segment. Anchors of one text alone are set aside by counting (``frequency``). Segments of the
 others are gathered by anchor: a run-length index (``runindex``) is built over the distinct segments of a bin
 of anchors, and the segments' matching statistics are streamed through it: matches of 50 or more lead to the
-least document that holds the window. Where an anchor has more segments than an index holds, as at the edges
-of a passage that countless documents quote, its segments are taken apart into windows, which are dealt to
-several indexes by their content. So memory is bounded by a batch of texts or a bin, and no document is
+least document that holds the window. Segments at the edges of a passage differ by what stands around it: where
+an anchor has more than a few in a batch, the batch asks for each of its windows once, and where it has more in
+all than an index holds, segments are taken apart into windows, which are dealt to several indexes by their
+content. So a window of a passage that countless documents quote is a few rows of a batch, memory is bounded by a batch of texts or a bin, and no document is
 compared with all others. Of texts that several documents have, the one of the least id stands for all.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,8 @@ ANCHOR = 24
 RUN = 64
 #: Bytes of the segments of a bin, on average, and those of an anchor from which it is taken apart.
 INDEX_BYTES = 1 << 18
+#: Distinct segments of an anchor in a batch from which the batch asks for its windows once each.
+EDGES = 8
 #: Bytes of texts that anchors are computed for at a time.
 CHUNK = 1 << 17
 #: Parts that rows are dealt to where a join's key may be hot.
@@ -107,6 +112,18 @@ def runs_by_text(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.
     return some, binaries(pairs, 2 * np.append(first[1:], len(row)) if len(row) else np.zeros(0, int))
 
 
+def once_each(segs: list[bytes], docs: list[int], window: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Runs of windows of segments that are in order of their documents: the segment, the first window, how many, and
+    whether a smaller document among these has them."""
+    seen: dict[bytes, int] = {}
+    for k, (seg, d) in enumerate(zip(segs, docs, strict=True)):
+        at = 0
+        for known, run in groupby([seen.setdefault(seg[i : i + window], d) < d for i in range(len(seg) - window + 1)]):
+            m = sum(1 for _ in run)
+            yield k, at, m, known
+            at += m
+
+
 def repeated_windows(segs: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of segments with windows that a smaller document has: the row, the first and the number of windows of each run."""
     number: dict[bytes, int] = {}
@@ -169,19 +186,23 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
         known = [(b.as_py(), c.as_py()) for b, c in zip(beside.column("bucket"), beside.column("codes"), strict=True) if b.is_valid]
         on = np.flatnonzero(frequency.unpacked(u, n_buckets, known)[place])
         first: dict[bytes, int] = {}
-        asked, segs, whole = [], [], []
-        for k, d, lo, hi in zip(on.tolist(), doc[on].tolist(), start[on].tolist(), (start + n + window - 1)[on].tolist(), strict=True):
-            seg = data[d][lo:hi]
-            j = first.setdefault(seg, k)
-            if j != k and ids[doc[j]] < ids[d]:  # a smaller document of this batch has it
-                whole.append(k)
-            else:
-                asked.append(k)
-                segs.append(seg)
-        asked, whole = np.array(asked, np.int64), np.array(whole, np.int64)
-        sure, runs = runs_by_text(doc[whole], start[whole], n[whole])
-        index = {"h": pa.array(h[asked].view(np.int64)), "seg": pa.array(segs, pa.binary()), "doc_id": pa.array(ids[doc[asked]]), "t1": pa.array(t1[doc[asked]]), "start": pa.array(start[asked].astype(np.int32)), "runs": pa.nulls(len(asked), pa.binary())}
-        direct = {"h": pa.nulls(len(sure), pa.int64()), "seg": pa.nulls(len(sure), pa.binary()), "doc_id": pa.array(ids[sure]), "t1": pa.array(t1[sure]), "start": pa.nulls(len(sure), pa.int32()), "runs": runs}
+        asked, sure = [], []  # rows of (segment, first window, windows): to look up, and those that a smaller document of this batch has
+        for k, d, lo, m in zip(on.tolist(), doc[on].tolist(), start[on].tolist(), n[on].tolist(), strict=True):
+            j = first.setdefault(data[d][lo : lo + m + window - 1], k)
+            (sure if j != k and ids[doc[j]] < ids[d] else asked).append((k, 0, m))
+        crowd = Counter(h[[k for k, _, _ in asked]].tolist())
+        crowded = [row for row in asked if crowd[int(h[row[0]])] > EDGES]
+        asked = [row for row in asked if crowd[int(h[row[0]])] <= EDGES]
+        segs = [data[doc[k]][start[k] : start[k] + m + window - 1] for k, _, m in crowded]
+        for i, lo, m, known in once_each(segs, [int(ids[doc[k]]) for k, _, _ in crowded], window):
+            (sure if known else asked).append((crowded[i][0], lo, m))
+        k, lo, m = np.array(asked, np.int64).reshape(-1, 3).T
+        begin = start[k] + lo
+        segs = [data[d][a:z] for d, a, z in zip(doc[k].tolist(), begin.tolist(), (begin + m + window - 1).tolist(), strict=True)]
+        index = {"h": pa.array(h[k].view(np.int64)), "seg": pa.array(segs, pa.binary()), "doc_id": pa.array(ids[doc[k]]), "t1": pa.array(t1[doc[k]]), "start": pa.array(begin.astype(np.int32)), "runs": pa.nulls(len(k), pa.binary())}
+        k, lo, m = np.array(sorted(sure), np.int64).reshape(-1, 3).T  # segments are numbered by text
+        some, runs = runs_by_text(doc[k], start[k] + lo, m)
+        direct = {"h": pa.nulls(len(some), pa.int64()), "seg": pa.nulls(len(some), pa.binary()), "doc_id": pa.array(ids[some]), "t1": pa.array(t1[some]), "start": pa.nulls(len(some), pa.int32()), "runs": runs}
         return pa.concat_tables([pa.table(index), pa.table(direct)])
 
     nothing = F.lit(None)

@@ -97,3 +97,30 @@ def test_clashing_names_and_a_null_key(spark):
     df = spark.createDataFrame([(1, same, 1, 1, "r"), (2, same, 2, 2, "s"), (None, same, 3, 3, "t")], "doc_id long, text string, __t1 long, __known long, __RUNS string")
     got = {r["doc_id"]: r for r in suffixes.without_repeats(df).collect()}
     assert got[1]["text"] == same and got[2]["text"] == "" and got[None]["text"] == same and got[2]["__RUNS"] == "s" and got[2]["__known"] == 2
+
+
+def test_windows_of_a_hot_passage_go_once_a_batch(spark, monkeypatch):
+    """A third of all documents quote a passage, each with other text around it."""
+    from collections import Counter
+
+    from millrace.llm import frequency
+
+    monkeypatch.setattr(frequency, "LEAST_BYTES", 20_000)
+    monkeypatch.setattr(frequency, "FEW", 4)
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    core = noise(120)
+    rows = [(i, noise(60) + (core if i % 3 == 0 else noise(40)) + noise(60)) for i in range(600)]
+    sent, real = [], suffixes.written
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "segments":
+            sent.extend(bytes(r["seg"]) for r in out.filter("seg is not null").collect())
+        return out
+
+    monkeypatch.setattr(suffixes, "written", watched)
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    batches = frequency.batches_of(sum(len(t) for _, t in rows))
+    times = Counter(s[i : i + 50] for s in sent for i in range(len(s) - 49))
+    assert batches > 3 and 1 < max(times.values()) <= suffixes.EDGES * batches < 200
