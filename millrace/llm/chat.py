@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import if_small, ranked
+from ..session import if_small, ranked, running_within
 from .common import written
 
-#: Turns that one row may hold besides carried system turns: longer dialogues continue in further parts, so that no group is unbounded.
+#: Turns that one row may hold besides a carried system turn: longer dialogues continue in further parts, so that no group is unbounded.
 PART_TURNS = 1024
 
 
@@ -32,9 +32,11 @@ def parts_of(rows: DataFrame, message: Column, system: str, part_turns: int) ->
     dealt = placed.join(if_small(starts), same).select("conv_id", F.floor((F.col("position") - F.col("start")) / F.lit(part_turns)).cast("long").alias("part"), "role", message)
     dealt = written(dealt, "dealt")
     own = dealt.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("m")).alias("own"))
-    told = written(dealt.filter(F.col("role") == system).groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("part", "m"))).alias("told")), "told")
-    before = F.transform(F.filter("told", lambda t: t["part"] < F.col("part")), lambda t: t["m"])
-    whole = own.join(if_small(told), same, "left").select("conv_id", "part", F.when(F.col("told").isNull(), F.col("own")).otherwise(F.concat(before, "own")).alias("ms"))
+    # The system turn in force where a part begins is the last one before it: a row for each part.
+    last = dealt.groupBy("conv_id", "part").agg(F.max(F.when(F.col("role") == system, F.col("m"))).alias("last"))
+    told = running_within(last, ["conv_id"], [F.col("part")], told=("max", F.col("last"))).select(F.col("conv_id").alias("id"), (F.col("part") + 1).alias("next"), "told")
+    told = written(told.filter("told is not null"), "told")
+    whole = own.join(if_small(told), same & (F.col("part") == F.col("next")), "left").select("conv_id", "part", F.when(F.col("told").isNull(), F.col("own")).otherwise(F.concat(F.array("told"), "own")).alias("ms"))
     who = written(dealt.filter(F.col("role") != system).select(F.col("conv_id").alias("id"), F.col("role").alias("speaker")).distinct(), "speakers")
     return whole.join(if_small(who), same).select("conv_id", "part", "ms", "speaker")
 
@@ -47,8 +49,8 @@ def perspectives(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     ("begin-end" of each trained content in code points of ``rendered``, joined by commas, end
     exclusive). Null turns come first. Null roles are a speaker named "unknown", null texts are empty. Turns with
     the same number keep the order of role, then text; repeated rows all stay. Every speaker of the conversation has
-    a rendering of each part, silent there or not. A part after the first begins with the system turns of the parts
-    before it, which count as its messages and move its spans.
+    a rendering of each part, silent there or not. A part after the first begins with the system turn in force, the
+    last one of the parts before it, which counts as its message and moves its spans; earlier ones are in their own parts alone.
     "<|" in texts and roles becomes "< |", and a line break in a role a blank, so that only the rendering's own markers are such.
     Long texts stay whole; other columns are not read, whatever their names.
     A conversation of system turns alone has no speaker and gives no row; an empty table none.

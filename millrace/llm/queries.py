@@ -119,7 +119,8 @@ FROM h LEFT JOIN k ON k.doc_id = h.doc_id
 
 OP8 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents
 ),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -136,8 +137,12 @@ WITH c AS (
 ),
 m AS (SELECT *, (row_number() OVER w - 1) // 1024 AS part, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 parts AS (SELECT DISTINCT conv_id, part FROM m),
+told AS (
+  SELECT p.conv_id, p.part, max(m.place) AS place FROM parts p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.part < p.part AND m.role = 'system' GROUP BY ALL
+),
 shown AS (
-  SELECT p.conv_id, p.part, m.place, m.role, m.text FROM parts p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND (m.part = p.part OR (m.part < p.part AND m.role = 'system'))
+  SELECT conv_id, part, place, role, text FROM m
+  UNION ALL SELECT t.conv_id, t.part, t.place, m.role, m.text FROM told t JOIN m ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.place = t.place
 ),
 g AS (SELECT conv_id, part, list({'role': role, 'text': text} ORDER BY place) AS ms FROM shown GROUP BY conv_id, part),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
