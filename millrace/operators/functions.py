@@ -76,28 +76,36 @@ def aggregated(df: DataFrame, group: str, value: str, how: Aggregate, name: str,
     that no task sees a whole group.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(states: dict, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(states), kind), pa.array([cloudpickle.dumps(s) for s in states.values()], pa.binary())], names=["g", "state"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
         for batch in batches:
-            for g, x in zip(batch["g"], batch["x"], strict=True):
+            kind = batch.schema.field("g").type
+            for g, x in zip(batch.column("g").to_pylist(), batch.column("x").to_pylist(), strict=True):
                 states[g] = how.step(states[g] if g in states else how.start(), x)
             if len(states) > 10_000:
-                yield packed(states)
+                yield packed(states, kind)
                 states = {}
-        yield packed(states)
-
-    def packed(states: dict) -> pd.DataFrame:
-        return pd.DataFrame({"g": list(states), "state": [cloudpickle.dumps(s) for s in states.values()]})
+        if states:  # a task may have no rows at all
+            yield packed(states, kind)
 
-    def merged(rows: pd.DataFrame) -> Any:
+    def merged(rows: pa.Table) -> Any:
         state = how.start()
-        for raw in rows["state"]:
+        for raw in rows.column("state").to_pylist():
             state = how.merge(state, cloudpickle.loads(raw))
         return state
 
+    def some_of(rows: pa.Table) -> pa.Table:
+        return pa.table({"g": rows.column("g").slice(0, 1), "state": pa.array([cloudpickle.dumps(merged(rows))], pa.binary())})
+
+    def whole_of(rows: pa.Table) -> pa.Table:
+        return pa.table({"g": rows.column("g").slice(0, 1), "v": pa.array([how.end(merged(rows))], pa.float64())})
+
     kind = df.schema[group].dataType.simpleString()
     rows = df.select(F.col(group).alias("g"), F.col(value).alias("x")).filter("x is not null")
-    states = rows.mapInPandas(fold, f"g {kind}, state binary").withColumn("part", F.pmod(F.xxhash64("state"), F.lit(parts)))
-    some = states.groupBy("g", "part").applyInPandas(lambda r: pd.DataFrame({"g": r["g"].iloc[:1], "state": [cloudpickle.dumps(merged(r))]}), f"g {kind}, state binary")
-    whole = some.groupBy("g").applyInPandas(lambda r: pd.DataFrame({"g": r["g"].iloc[:1], "v": [how.end(merged(r))]}).astype({"v": "float64"}), f"g {kind}, v double")
+    states = rows.mapInArrow(fold, f"g {kind}, state binary").withColumn("part", F.pmod(F.xxhash64("state"), F.lit(parts)))
+    some = states.groupBy("g", "part").applyInArrow(some_of, f"g {kind}, state binary")
+    whole = some.groupBy("g").applyInArrow(whole_of, f"g {kind}, v double")
     return whole.select(F.col("g").alias(group), F.col("v").alias(name))

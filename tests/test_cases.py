@@ -1,11 +1,15 @@
 """Operators on cases that the test tables lack."""
 
+import datetime
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, functions, joins, windows
 from millrace.operators import text as chunks
+from millrace.plans import QUERIES
 from millrace.sources import readers, sinks
 
 
@@ -37,6 +41,20 @@ def test_aggregate_of_ones_own_merges_all_states(spark):
     assert {r["g"]: r["n"] for r in functions.aggregated(df, "g", "x", most, "n", parts=4).collect()} == {0: 7.0, 1: 7.0, 2: 7.0}
 
 
+@pytest.mark.parametrize(("kind", "g"), [("string", "a"), ("long", 5), ("date", datetime.date(2020, 1, 2))])
+def test_aggregate_of_tasks_without_rows_and_null_groups(spark, kind, g):
+    total = functions.Aggregate(float, lambda s, x: s + x, lambda a, b: a + b, lambda s: s)
+    for rows in ([(g, 1.0), (g, 2.0)], [(None, 1.0), (g, 2.0), (None, 4.0), (g, None)], []):
+        df = spark.createDataFrame(rows, f"g {kind}, x double").repartition(7)
+        want = {k: sum(x for own, x in rows if own == k and x is not None) for k, _ in rows}
+        assert {r["g"]: r["s"] for r in functions.aggregated(df, "g", "x", total, "s").collect()} == want
+
+
+def test_sketch_is_not_kept_for_every_user(spark, tiny):
+    plan = QUERIES["approx_distinct"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and not re.search(r"keys=\[[^\]]*user_id[^\]]*\], functions=\[[^\n]*approx_count_distinct", plan)
+
+
 def test_page_status(spark):
     df = spark.createDataFrame([(1, "<p>a  b</p><p> </p>"), (2, "%PDF-1.4"), (3, " "), (4, None)], "page_id long, html string")
     got = {r["page_id"]: (r["status"], r["blocks"]) for r in chunks.page_parts(df).collect()}
