@@ -83,3 +83,8 @@ def test_rows(spark):
     assert splitter.split(df.limit(0), "text", 10).collect() == []
     with pytest.raises(ValueError):
         splitter.split(df, "text", 10, 10)
+
+
+def test_a_long_text_is_not_copied_to_each_of_its_chunks(spark):
+    df = spark.createDataFrame([(1, "some word " * 100_000)], "id int, text string")
+    assert splitter.split(df, "text", 100).drop("text").count() == 10_000
