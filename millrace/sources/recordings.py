@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
@@ -23,6 +24,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 STRATEGIES = ("sequential", "segment", "file_group", "chain", "row_block")
 #: Rows that are read into memory at a time.
 BATCH = 65_536
+#: Bytes of a group of rows in data files: what a segment's reader decodes at least.
+ROW_GROUP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -201,15 +204,51 @@ class RecordingsReader(DataSourceReader):
         system, inner = system_of(self.roots[partition.dataset])
         target = to_arrow_schema(self.schema)
         names = [f.name for f in self.schema.fields[3:]]
-        files: dict[str, ds.Dataset] = {}  # each file is opened once
+        own: dict[str, list[tuple[int, int]]] = {}
+        for _, data, lo, hi in partition.pieces:
+            own.setdefault(data, []).append((lo, hi))
+        files = {data: Places(ds.dataset(f"{inner}/{data}", filesystem=system, format="parquet"), spans, names) for data, spans in own.items()}  # each file is opened once
         for segment, data, lo, hi in partition.pieces:
-            if data not in files:
-                files[data] = ds.dataset(f"{inner}/{data}", filesystem=system, format="parquet")
-            place = ds.field("index")
-            for b in files[data].to_batches(columns=["index", *names], filter=(place >= lo) & (place < hi), batch_size=BATCH):
-                if len(b):
-                    own = [pa.array([partition.dataset] * len(b), pa.int32()), pa.array([segment] * len(b), pa.int64()), *b.columns]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(own, target, strict=True)], schema=target)
+            for b in files[data].between(lo, hi):
+                columns = [pa.array([partition.dataset], pa.int32()).take(pa.array(np.zeros(len(b), np.int64))), pa.array(np.full(len(b), segment, np.int64)), *b.columns]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+
+class Places:
+    """Rows of a data file by their places. Where the file and what is asked for are in order, as they are written, it is read once for all that is asked; else once for each stretch."""
+
+    def __init__(self, file: ds.Dataset, spans: list[tuple[int, int]], names: list[str]) -> None:
+        self.file, self.columns = file, ["index", *names]
+        self.rest: pa.RecordBatch | None = None
+        self.stream: Iterator[pa.RecordBatch] | None = None
+        if len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and self.ordered(spans[0][0], spans[-1][1]):
+            self.stream = self.batches(self.columns, spans[0][0], spans[-1][1])
+
+    def batches(self, columns: list[str], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        place = ds.field("index")
+        found = self.file.to_batches(columns=columns, filter=(place >= lo) & (place < hi), batch_size=BATCH, batch_readahead=2, fragment_readahead=1)
+        return (b for b in found if len(b))
+
+    def ordered(self, lo: int, hi: int) -> bool:
+        last = lo
+        for b in self.batches(["index"], lo, hi):
+            at = b.column(0).to_numpy()
+            if at[0] < last or (np.diff(at) < 0).any():
+                return False
+            last = at[-1]
+        return True
+
+    def between(self, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        if self.stream is None:
+            yield from self.batches(self.columns, lo, hi)
+            return
+        while (rest := self.rest if self.rest is not None else next(self.stream, None)) is not None:
+            a, z = np.searchsorted(rest.column(0).to_numpy(), [lo, hi])
+            self.rest = rest.slice(z) if z < len(rest) else None
+            if a < z:
+                yield rest.slice(a, z - a)
+            if self.rest is not None:
+                return
 
 
 def read_recordings(spark: SparkSession, paths: list[str], strategy: str = "file_group", rows: int | None = None) -> DataFrame:
@@ -227,7 +266,7 @@ def write_recording(df: DataFrame, path: str, segment: Column, assets: Column, *
     """
     own = df.withColumns({"segment": segment.cast("long"), "__assets": assets, "file_number": F.pmod(segment.cast("long"), F.lit(files)).cast("int")})
     # Folders by the file's number; each holds one file, as all its rows come from one task.
-    own.repartition(files, "file_number").sortWithinPartitions("file_number", "index").drop("__assets", "segment").write.partitionBy("file_number").parquet(f"{path}/data")
+    own.repartition(files, "file_number").sortWithinPartitions("file_number", "index").drop("__assets", "segment").write.option("parquet.block.size", ROW_GROUP).partitionBy("file_number").parquet(f"{path}/data")
     named = own.sparkSession.read.format("binaryFile").load(f"{path}/data").select(F.regexp_extract("path", r"(data/file_number=\d+/[^/]+)$", 1).alias("data"))
     named = named.withColumn("file_number", F.regexp_extract("data", r"file_number=(\d+)", 1).cast("int"))
     spans = own.groupBy("segment", "file_number").agg(F.min("index").alias("start"), (F.max("index") + 1).alias("end"), F.max(F.map_entries("__assets")).alias("__assets"))

@@ -42,6 +42,20 @@ def test_strategies(spark, tmp_path):
         assert sorted((r["dataset"], r["segment"], r["index"], r["x"]) for r in df.collect()) == [(0, i // 10, i, i * 1.5) for i in range(50)]
 
 
+def test_a_file_is_read_once_for_all_segments(tmp_path, monkeypatch):
+    """Segments that take turns between two files, one of them out of order."""
+    root = made(tmp_path / "r", [(k, f"data/{'ab'[k % 2]}", {}) for k in range(20)])
+    table = pq.read_table(tmp_path / "r" / "data" / "b")
+    pq.write_table(table.take(list(range(len(table)))[::-1]), tmp_path / "r" / "data" / "b")
+    scans, plain = [], recordings.Places.batches
+    monkeypatch.setattr(recordings.Places, "batches", lambda self, columns, lo, hi: scans.append((lo, hi)) or plain(self, columns, lo, hi))
+    source = recordings.Recordings({"path": root, "strategy": "sequential"})
+    reader = source.reader(source.schema())
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(rows) == [(0, i // 10, i, i * 1.5) for i in range(200)] and [r[1] for r in rows] == sorted(r[1] for r in rows)
+    assert scans.count((0, 190)) == 2 and scans.count((10, 200)) == 1 and len(scans) == 13
+
+
 def test_conditions_reach_the_plan(spark, tmp_path):
     roots = [made(tmp_path / "a", SEGMENTS), made(tmp_path / "b", SEGMENTS[:2])]
     df = recordings.read_recordings(spark, roots, "segment")
