@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
+from xml.etree import ElementTree
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -83,11 +85,36 @@ def read_voc(spark: SparkSession, path: str) -> DataFrame:
     return voc_boxes(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "xml").select("xml", F.col("_metadata.file_path").alias("path")), "xml")
 
 
+_VOC = "struct<width: int, height: int, boxes: array<array<double>>, labels: array<string>>"
+
+
+def _voc(xml: str | None) -> dict:
+    """What an annotation holds; lists of corners are put side by side, the shorter ones filled up with nulls."""
+    if xml is None:
+        return {"width": None, "height": None, "boxes": None, "labels": None}
+    root = ElementTree.fromstring(xml)
+    if root.tag != "annotation":
+        return {"width": 0, "height": 0, "boxes": [], "labels": []}
+
+    def whole(path: str) -> int:
+        try:
+            found = float(root.findtext(path, "").strip())
+        except ValueError:
+            return 0
+        return int(found) if abs(found) < 1 << 31 else 0
+
+    ends = [[float(e.text) for e in root.iterfind(f"object/bndbox/{c}") if e.text] for c in ("xmin", "ymin", "xmax", "ymax")]
+    return {"width": whole("size/width"), "height": whole("size/height"), "boxes": [list(b) for b in zip_longest(*ends)], "labels": [e.text for e in root.iterfind("object/name") if e.text]}
+
+
 def voc_boxes(df: DataFrame, xml: str) -> DataFrame:
-    """The table with an annotation's width, height, boxes and labels in place of its XML."""
-    ends = [F.transform(F.xpath(xml, F.lit(f"annotation/object/bndbox/{c}/text()")), lambda x: x.cast("double")) for c in ("xmin", "ymin", "xmax", "ymax")]
-    size = [F.xpath_int(xml, F.lit(f"annotation/size/{c}")).alias(c) for c in ("width", "height")]
-    return df.select(*[c for c in df.columns if c != xml], *size, F.transform(F.arrays_zip(*[e.alias(f"e{i}") for i, e in enumerate(ends)]), lambda z: F.array(*[z[f"e{i}"] for i in range(4)])).alias("boxes"), F.xpath(xml, F.lit("annotation/object/name/text()")).alias("labels"))
+    """The table with an annotation's width, height, boxes and labels in place of its XML, which is parsed once."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_voc(t) for t in texts.to_pylist()], pa.struct([("width", pa.int32()), ("height", pa.int32()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("labels", pa.list_(pa.string()))]))
+
+    found = df.select(*[c for c in df.columns if c != xml], F.arrow_udf(run, _VOC)(xml).alias("__voc"))
+    return found.select(*[c for c in df.columns if c != xml], *[F.col(f"__voc.{c}").alias(c) for c in ("width", "height", "boxes", "labels")])
 
 
 def valid_images(df: DataFrame, content: str) -> DataFrame:

@@ -41,6 +41,13 @@ def test_aggregate_of_ones_own_merges_all_states(spark):
     assert {r["g"]: r["n"] for r in functions.aggregated(df, "g", "x", most, "n", parts=4).collect()} == {0: 7.0, 1: 7.0, 2: 7.0}
 
 
+def test_voc_is_parsed_once(spark):
+    one = "<annotation><size><width>5.0</width></size><object><name>a</name><bndbox><xmin> 1 </xmin><ymin>2</ymin><xmax>3</xmax></bndbox></object></annotation>"
+    df = readers.voc_boxes(spark.createDataFrame([(1, one), (2, "<other/>"), (3, None)], "i int, xml string"), "xml")
+    assert "xpath" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 5, 0, [[1.0, 2.0, 3.0, None]], ["a"]), (2, 0, 0, [], []), (3, None, None, None, None)]
+
+
 @pytest.mark.parametrize(("kind", "g"), [("string", "a"), ("long", 5), ("date", datetime.date(2020, 1, 2))])
 def test_aggregate_of_tasks_without_rows_and_null_groups(spark, kind, g):
     total = functions.Aggregate(float, lambda s, x: s + x, lambda a, b: a + b, lambda s: s)
