@@ -28,6 +28,16 @@ def test_vectors_follow_likeness(spark):
     assert dot(got[0], got[1]) > 0.85 > 0.65 > dot(got[0], got[2]) > 0.3 > abs(dot(got[0], got[3]))
 
 
+def test_vectors_are_made_where_texts_are_read(spark):
+    """Only texts that share a key are shuffled, and they count as one."""
+    rows = [(i, f"a b{i % 7} c a") for i in range(40)] + [(3, "b c"), (None, "x y"), (None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = embed.text_vectors(df)
+    assert "sum(c" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "left_anti" in plan.lower().replace("leftanti", "left_anti")
+    by = {r["doc_id"]: r["vector"] for r in got.collect()}
+    assert len(by) == 41 and by[2] == by[9] and by[3] != by[10] and dot(by[None], by[None]) == pytest.approx(1)
+
+
 def test_vectors_of_odd_texts(spark):
     got = vectors(spark, [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "a " * 50_000), (None, "one"), (6, "two"), (6, "two")], dim=8)
     assert set(got) == {1, 2, 3, 4, 5, 6, None} and got[1] == got[2] == got[3] == [0.0] * 8 and got[4] == got[None]
