@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, if_small
+from ..session import checkpointed, if_small, stored
 
 
 def first_factors(ids: Column, rank: int, seed: int) -> Column:
@@ -52,6 +52,8 @@ def fit(ratings: DataFrame, *, rank: int = 8, rounds: int = 10, penalty: float =
     later costs a read. Without ratings both tables are empty.
     """
     own = ratings.select(F.col(user).alias(user), F.col(item).alias(item), F.col(rating).cast("double").alias("rating")).dropna()
+    # Read by every half round. Rows of a user lie together, so that their sums are few before they are shuffled; a user of very many is dealt to several tasks.
+    own = stored(own.hint("rebalance", user), "ratings")
     items = checkpointed(own.select(item).distinct().withColumn("f", first_factors(F.col(item), rank, seed)))
     users = None
     for _ in range(rounds):

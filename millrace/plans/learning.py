@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection, factors, vector_index
-from ..session import checkpointed, table
+from ..session import checkpointed, stored, table
 from .registry import query
 
 
@@ -129,6 +129,6 @@ SELECT "user", item, round(u.f * i.f, 4) AS predicted FROM ratings LEFT JOIN u{r
 @query(factor_sql(3, 0.1))
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of the held-out ratings by factors of one number each, which SQL can follow."""
-    ratings = _ratings(spark, sf_dir)
+    ratings = stored(_ratings(spark, sf_dir), "ratings")
     users, items = factors.fit(ratings.filter("not held"), rank=1, rounds=3)
     return factors.predicted(ratings.filter("held").select("user", "item"), users, items).select("user", "item", F.round("predicted", 4).alias("predicted"))

@@ -55,3 +55,17 @@ def test_held_out_ratings(spark):
 def test_no_ratings(spark):
     users, items = factors.fit(spark.createDataFrame([], "user int, item int, rating double"), rank=2, rounds=1)
     assert users.collect() == items.collect() == []
+
+
+def test_ratings_are_reckoned_once(spark):
+    """The ratings count their rows as they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ratings = spark.createDataFrame([(u, i, float(u * i % 5)) for u in range(20) for i in range(10)], "user long, item long, rating double").mapInArrow(run, "user long, item long, rating double")
+    users, items = factors.fit(ratings, rank=1, rounds=3)
+    assert users.count() == 20 and items.count() == 10 and made.value == 200
