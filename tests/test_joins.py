@@ -106,3 +106,19 @@ def test_hot_key_is_dealt_over_time(spark, tiny):
     got = {(x["a"], x["b"]) for x in stream_joins.joined_within(l, r, ["k"], ("s", "t"), 120, 0).collect()}
     want = {(x["a"], x["b"]) for x in l.join(r, "k").filter("t >= s - interval 120 seconds and t <= s").collect()}
     assert got == want and want
+
+
+def test_ranges_are_cut_as_finely_as_one_column(spark):
+    """Ends that follow the begins: blocks of about ``block`` rows, so that far fewer pairs are checked than there are."""
+    l = spark.range(2000).selectExpr("id as i", "id as f", "id + 3 as t").repartition(3)
+    r = spark.range(2000).selectExpr("id as j", "id as at").repartition(3)
+    got = joins.theta_join(l, r, [("f", "<", "at"), ("t", ">", "at")], block=20)
+    assert sorted((x["i"], x["j"]) for x in got.collect()) == [(i, j) for i in range(2000) for j in (i + 1, i + 2) if j < 2000]
+    blocks = []
+    plain = joins.checkpointed
+    try:
+        joins.checkpointed = lambda df: blocks.append(plain(df)) or blocks[-1]
+        joins.theta_join(l, r, [("f", "<", "at"), ("t", ">", "at")], block=20)
+    finally:
+        joins.checkpointed = plain
+    assert blocks[0].select("__l").distinct().count() >= 90
