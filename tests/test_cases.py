@@ -44,7 +44,7 @@ def test_aggregate_of_ones_own_merges_all_states(spark):
 def test_voc_is_parsed_once(spark):
     one = "<annotation><size><width>5.0</width></size><object><name>a</name><bndbox><xmin> 1 </xmin><ymin>2</ymin><xmax>3</xmax></bndbox></object></annotation>"
     df = readers.voc_boxes(spark.createDataFrame([(1, one), (2, "<other/>"), (3, None)], "i int, xml string"), "xml")
-    assert "xpath" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(tuple(r) for r in df.collect()) == [(1, 5, 0, [[1.0, 2.0, 3.0, None]], ["a"]), (2, 0, 0, [], []), (3, None, None, None, None)]
 
 
