@@ -8,8 +8,8 @@ others are gathered by anchor: a run-length index (``runindex``) is built over t
 of anchors, and the segments' matching statistics are streamed through it: matches of 50 or more lead to the
 least document that holds the window. Segments at the edges of a passage differ by what stands around it: where
 an anchor has more than a few in a batch, the batch asks for each of its windows once, and where it has more in
-all than an index holds, segments are taken apart into windows, which are dealt to several indexes by their
-content. So a window of a passage that countless documents quote is a few rows of a batch, memory is bounded by a batch of texts or a bin, and no document is
+all than an index holds, batches send its windows as packed lists, which are compared by buckets of their hashes.
+So a window of a passage that countless documents quote is a few rows of a batch, memory is bounded by a batch of texts or a bin, and no document is
 compared with all others. Of texts that several documents have, the one of the least id stands for all.
 """
 
@@ -35,7 +35,7 @@ from .runindex import END, RunIndex
 ANCHOR = 24
 #: Windows of a segment at most; longer runs (text that repeats itself) are cut.
 RUN = 64
-#: Bytes of the segments of a bin, on average, and those of an anchor from which it is taken apart.
+#: Bytes of the segments of a bin, on average, and those of an anchor from which its windows go as lists.
 INDEX_BYTES = 1 << 18
 #: Distinct segments of an anchor in a batch from which the batch asks for its windows once each.
 EDGES = 8
@@ -45,10 +45,57 @@ CHUNK = 1 << 17
 SALTS = 16
 
 _rng = np.random.default_rng(5)
-BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+BYTE_HASH, OTHER_HASH = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 FACTOR = 0x9E3779B97F4A7C15
 
 
+def hashed(data: np.ndarray, width: int, table: np.ndarray = BYTE_HASH) -> np.ndarray:
+    """Hashes (63 bits) of all strings of ``width`` bytes of ``data``."""
+    h, have = table[data], 1
+    grown = {1: h}
+    while have * 2 <= width:
+        h = h[:-have] * np.uint64(pow(FACTOR, have, 2**64)) + h[have:]
+        have *= 2
+        grown[have] = h
+    while have < width:
+        step = max(w for w in grown if w <= width - have)
+        tail = grown[step][have:]
+        h = h[: len(tail)] * np.uint64(pow(FACTOR, step, 2**64)) + tail
+        have += step
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))) >> np.uint64(1)
+
+
+def windows_of(segs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of segments (none shorter than one): two hashes of 63 bits, the segment's number and the place in it."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in chunks(segs, CHUNK):
+        lens = np.array([len(s) for s in segs[lo:hi]])
+        n = lens - window + 1
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        data, at = np.frombuffer(b"".join(segs[lo:hi]), np.uint8), (np.cumsum(lens) - lens)[row] + place
+        found.append((hashed(data, window)[at], hashed(data, window, OTHER_HASH)[at], row + lo, place))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+
+
+def least_of(x: np.ndarray, y: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pairs of hashes and documents, the first place in it of each pair, and the number of each input's pair. The first is that of the least document."""
+    order = np.lexsort((docs, y, x))
+    u, v = x[order], y[order]
+    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
+def runs_where(hit: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (last place) of the maximal runs of hits within rows."""
+    hit = np.concatenate([[False], hit, [False]])
+    inner = np.concatenate([[False], row[1:] == row[:-1], [False]])  # continues the row before
+    return np.flatnonzero(hit[1:-1] & ~(hit[:-2] & inner[:-1])), np.flatnonzero(hit[1:-1] & ~(hit[2:] & inner[1:]))
+
+
 def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of texts: the text's number, the anchor (63 bits), the first window and the number of windows."""
     found = []
@@ -58,19 +105,7 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
         n = np.maximum(lens - window + 1, 0)
         if not n.any():
             continue
-        h, have = BYTE_HASH[data], 1
-        grown = {1: h}
-        while have * 2 <= ANCHOR:
-            h = h[:-have] * np.uint64(pow(FACTOR, have, 2**64)) + h[have:]
-            have *= 2
-            grown[have] = h
-        while have < ANCHOR:
-            step = max(w for w in grown if w <= ANCHOR - have)
-            tail = grown[step][have:]
-            h = h[: len(tail)] * np.uint64(pow(FACTOR, step, 2**64)) + tail
-            have += step
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        low = (h ^ (h >> np.uint64(32))) >> np.uint64(1)
+        low = hashed(data, ANCHOR)
         wanted, have = window - ANCHOR + 1, 1
         while have < wanted:
             step = min(have, wanted - have)
@@ -147,16 +182,57 @@ def repeated_windows(segs: list[bytes], docs: np.ndarray, window: int) -> tuple[
     n = lens[of] - window + 1
     row = np.repeat(np.arange(len(of)), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    hit = np.concatenate([[False], lowest[(np.cumsum(lens) - lens)[of][row] + place] < docs[row], [False]])
-    inner = np.concatenate([[False], row[1:] == row[:-1], [False]])  # continues the row before
-    begin = np.flatnonzero(hit[1:-1] & ~(hit[:-2] & inner[:-1]))
-    end = np.flatnonzero(hit[1:-1] & ~(hit[2:] & inner[1:]))
+    begin, end = runs_where(lowest[(np.cumsum(lens) - lens)[of][row] + place] < docs[row], row)
     return row[begin], place[begin], end - begin + 1
 
 
+HITS = "doc_id long, t1 long, runs binary"
 FOUND = "h long, seg binary, doc_id long, t1 long, start int, runs binary"
 
 
+def crowded_repeats(segs: DataFrame, n_batches: int, window: int) -> DataFrame:
+    """doc_id, t1 and runs of the windows of segments that a smaller document has, without an index or a row for each window.
+
+    segs: seg, doc_id, t1, start. As in ``frequency``, a batch sends its distinct windows as lists by bucket: 126 bits that
+    stand for a window, and the least document of the batch that has it. The buckets tell whether another batch has a smaller one.
+    """
+    n_buckets = frequency.buckets_of(segs.agg(F.coalesce(F.sum(F.length("seg") - (window - 1)), F.lit(0))).first()[0])
+    dealt = segs.select(batch_of(n_batches), "seg", "doc_id", "t1", "start")
+
+    def listed(rows: pa.Table) -> pa.Table:
+        x, y, row, _ = windows_of(rows.column("seg").to_pylist(), window)
+        docs = rows.column("doc_id").to_numpy()[row]
+        order, first, _ = least_of(x, y, docs)
+        some = order[first]
+        edges = np.searchsorted(frequency.bucket(x[some], n_buckets), np.arange(n_buckets + 1))
+        on = np.flatnonzero(np.diff(edges))
+        batch = np.full(len(on), rows.column("batch")[0].as_py(), np.int64)
+        return pa.table({"batch": pa.array(batch), "bucket": pa.array(on.astype(np.int32)), **{n: binaries(c[some], edges[on + 1]) for n, c in (("x", x), ("y", y), ("docs", docs))}})
+
+    def told(rows: pa.Table) -> pa.Table:
+        x, y, docs = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows.column(n)]) for n, kind in (("x", np.uint64), ("y", np.uint64), ("docs", np.int64)))
+        order, first, number = least_of(x, y, docs)
+        smaller = (docs[order[first]][number] < docs).astype(np.uint8)
+        sizes = np.array([len(v.as_buffer()) // 8 for v in rows.column("x")])
+        return rows.select(["batch", "bucket"]).append_column("codes", binaries(smaller, np.cumsum(sizes)))
+
+    def marked(own: pa.Table, beside: pa.Table) -> pa.Table:
+        ids, t1, start = (own.column(c).to_numpy() for c in ("doc_id", "t1", "start"))
+        x, y, row, place = windows_of(own.column("seg").to_pylist(), window)
+        order, first, number = least_of(x, y, ids[row])
+        some = order[first]
+        elsewhere = frequency.unpacked(x[some], n_buckets, zip(beside.column("bucket").to_pylist(), beside.column("codes").to_pylist(), strict=True)) > 0
+        begin, end = runs_where(elsewhere[number] | (ids[row][some][number] < ids[row]), row)
+        on, runs = runs_by_text(row[begin], start[row[begin]] + place[begin], end - begin + 1)
+        return pa.table({"doc_id": pa.array(ids[on]), "t1": pa.array(t1[on]), "runs": runs})
+
+    lists = dealt.groupBy("batch").applyInArrow(listed, "batch long, bucket int, x binary, y binary, docs binary")
+    codes = written(lists.groupBy("bucket").applyInArrow(told, frequency.CODES), "crowdcodes")
+    out = written(cogrouped(dealt, codes, marked, HITS), "crowdruns")
+    released(codes)
+    return out
+
+
 def marks(docs: DataFrame, window: int) -> DataFrame:
     """t1, t2, doc_id and runs, a row for each text, with the id of the row that stands for it: the runs of its
     windows (lists of pairs of int32: first window, number) that start in a document of a smaller id as well; null for none.
@@ -217,9 +293,8 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
     dealt = segs.withColumn("salt", salt).join(if_small(large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))), ["h", "salt"], "left")
     kept = dealt.filter("b is null").select(F.pmod(F.xxhash64("h"), n_bins).alias("bin"), "seg", "doc_id", "t1", "start")
-    apart = dealt.filter("b is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.length("seg") - window)))
-    apart = apart.select(F.expr(f"substring(seg, i + 1, {window})").alias("seg"), "doc_id", "t1", (F.col("start") + F.col("i")).alias("start"))
-    apart = apart.select(F.pmod(F.xxhash64("seg"), n_bins).alias("bin"), "seg", "doc_id", "t1", "start")
+    crowded = written(dealt.filter("b is not null").select("seg", "doc_id", "t1", "start"), "crowded")
+    apart = crowded_repeats(crowded, n_batches, window)
 
     def indexed(rows: pa.Table) -> pa.Table:
         ids, t1, start = (rows.column(c).to_numpy() for c in ("doc_id", "t1", "start"))
@@ -227,10 +302,10 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
         some, runs = runs_by_text(row, first + start[row], n)
         return pa.table({"doc_id": pa.array(ids[some]), "t1": pa.array(t1[some]), "runs": runs})
 
-    hits = kept.union(apart).groupBy("bin").applyInArrow(indexed, "doc_id long, t1 long, runs binary")
-    every = found.filter("runs is not null").select("doc_id", "t1", "runs").union(hits)
+    hits = kept.groupBy("bin").applyInArrow(indexed, HITS)
+    every = found.filter("runs is not null").select("doc_id", "t1", "runs").union(hits).union(apart)
     runs = written(every.groupBy("doc_id", "t1").agg(F.collect_list("runs").alias("runs")), "runs")
-    released(found, large)
+    released(found, large, crowded, apart)
     tidy(docs.sparkSession)
     out = written(ids.select("t1", "t2", F.col("least").alias("doc_id")).join(runs, ["doc_id", "t1"], "left").select("t1", "t2", "doc_id", "runs"), "marks")
     released(ids, runs)

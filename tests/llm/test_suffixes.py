@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import suffixes
@@ -124,3 +125,38 @@ def test_windows_of_a_hot_passage_go_once_a_batch(spark, monkeypatch):
     batches = frequency.batches_of(sum(len(t) for _, t in rows))
     times = Counter(s[i : i + 50] for s in sent for i in range(len(s) - 49))
     assert batches > 3 and 1 < max(times.values()) <= suffixes.EDGES * batches < 200
+
+
+def test_windows_of_a_hot_anchor_make_no_rows(spark, monkeypatch):
+    """Many documents quote a passage, each with other text around it: no row is made for each of its windows."""
+    from millrace.llm import frequency
+
+    monkeypatch.setattr(frequency, "LEAST_BYTES", 20_000)
+    monkeypatch.setattr(frequency, "FEW", 4)
+    monkeypatch.setattr(frequency, "BUCKET_HASHES", 5_000)
+    monkeypatch.setattr(suffixes, "INDEX_BYTES", 4_000)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    core = noise(90)
+    rows = [(i // 2, noise(60) + core + (core[:55] if i % 50 == 0 else "") + noise(60)) for i in range(500)]
+    plans, large, real = [], [], suffixes.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = real(df, name)
+        if name == "large":
+            large.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(suffixes, "written", watched)
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    assert large and not any("length(seg" in line for p in plans for line in p.splitlines() if "Generate" in line)
+
+
+def test_windows_of_segments():
+    x, y, row, place = suffixes.windows_of([b"abcdef", b"bcde", b"abcde"], 4)
+    assert list(zip(row.tolist(), place.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (2, 1)]
+    for h in (x, y):
+        assert h[0] == h[4] and h[1] == h[3] == h[5] and len(set(h.tolist())) == 3
+    order, first, number = suffixes.least_of(x, y, np.array([5, 5, 5, 4, 3, 3]))
+    assert order[first][number].tolist() == [4, 5, 2, 5, 4, 5]
