@@ -79,3 +79,25 @@ def test_most_and_empty(spark):
     perfect = ts.selectExpr("image", "label", "1.0D as score", "monotonically_increasing_id() as key", "box")
     one = detection.mean_average_precision(detection.average_precision(perfect, ts)).first()
     assert (one["map"], one["map_50"], one["mar"], one["labels"]) == (pytest.approx(1.0), pytest.approx(1.0), 1.0, 1)
+
+
+def test_a_prediction_is_one_row_at_all_thresholds(spark, monkeypatch):
+    predictions, truths = made(8)
+    ps, ts = spark.createDataFrame(predictions, SCHEMA), spark.createDataFrame(truths, "image long, label string, box array<double>")
+    placed, real = [], detection.running_within
+
+    def watched(df, *args, **kwargs):
+        placed.append(df.count())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(detection, "running_within", watched)
+    assert detection.average_precision(ps, ts, points=None).count() == 30
+    assert placed == [80, 80]
+
+
+def test_odd_corners(spark):
+    """A box with a null corner overlaps nothing; one of NaN overlaps all, as it is the largest."""
+    nan = float("nan")
+    truths = spark.createDataFrame([(i, "a", b) for i, b in enumerate([[0.0, 0.0, 1.0, 1.0], [0.0, 0.0, None, 1.0], [0.0, 0.0, nan, 1.0], [1.0, 1.0, 1.0, 1.0]])], "image long, label string, box array<double>")
+    ps = spark.createDataFrame([(i, "a", 0.5, i, b) for i, b in enumerate([[0.0, 0.0, None, 1.0], [0.0, 0.0, 1.0, 1.0], [0.0, 0.0, 1.0, 1.0], [1.0, 1.0, 1.0, 1.0]])], SCHEMA)
+    assert {r["key"]: r["hit"] for r in detection.matched(ps, truths, [0.5]).collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
