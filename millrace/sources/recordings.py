@@ -7,6 +7,7 @@ files are named from the folder. Rows have their place in the column ``index``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,10 @@ STRATEGIES = ("sequential", "segment", "file_group", "chain", "row_block")
 BATCH = 65_536
 #: Bytes of a group of rows in data files: what a segment's reader decodes at least.
 ROW_GROUP = 1 << 20
+#: Most partitions of a reader: beyond that, several that a strategy plans are read one after another in one.
+PARTITIONS = 512
+#: Rows of pieces that are handed over together.
+TOGETHER = 8192
 
 
 @dataclass(frozen=True)
@@ -56,11 +61,16 @@ def system_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def segments_of(root: str) -> list[Segment]:
+def segments_of(root: str, assets: bool = True) -> list[Segment]:
+    """The segments that have rows, by their places; without their assets where these are of no use."""
     system, inner = system_of(root)
-    rows = ds.dataset(f"{inner}/segments", filesystem=system, format="parquet").to_table(columns=["segment", "start", "end", "data", "assets"]).to_pylist()
-    own = [Segment(r["segment"], r["start"], r["end"], r["data"], tuple(sorted(r["assets"] or []))) for r in rows if r["end"] > r["start"]]
-    return sorted(own, key=lambda s: (s.start, s.segment))
+    columns = ["segment", "start", "end", "data", *["assets"] * assets]
+    own = ds.dataset(f"{inner}/segments", filesystem=system, format="parquet").to_table(columns=columns)
+    segment, start, end, data = (own[c].to_pylist() for c in columns[:4])
+    named = own["assets"].to_pylist() if assets else [None] * len(own)
+    # A plan holds a file's name once.
+    found = [Segment(s, a, z, sys.intern(d), tuple(sorted(n or []))) for s, a, z, d, n in zip(segment, start, end, data, named, strict=True) if z > a]
+    return sorted(found, key=lambda s: (s.start, s.segment))
 
 
 def grouped(segments: list[Segment], strategy: str) -> list[list[Segment]]:
@@ -124,20 +134,29 @@ def planned(segments: list[Segment], strategy: str, rows: int | None, wanted: li
         for lo in range(first, end, rows):
             while at < len(segments) and segments[at].end <= lo:
                 at += 1
-            own = []
-            for s in segments[at:]:
-                if s.start >= lo + rows:
-                    break
-                own.append(s)
-            parts.append(pieces(own, lo, lo + rows))
+            last = at
+            while last < len(segments) and segments[last].start < lo + rows:
+                last += 1
+            parts.append(pieces(segments[at:last], lo, lo + rows))
     return [p for p in parts if p]
 
 
+def in_turn(parts: list[list[tuple[int, str, int, int]]], most: int) -> list[list[tuple[int, str, int, int]]]:
+    """At most so many partitions: where there are more, those that follow each other are joined to about equal numbers of rows."""
+    if len(parts) <= most:
+        return parts
+    ends = np.cumsum([sum(hi - lo for _, _, lo, hi in p) for p in parts])
+    out: dict[int, list[tuple[int, str, int, int]]] = {}
+    for number, part in zip(((ends - 1) * most // ends[-1]).tolist(), parts, strict=True):
+        out.setdefault(number, []).extend(part)
+    return list(out.values())
+
+
 class Recordings(DataSource):
     """``recordings``: dataset, segment, index and the columns of the data files.
 
     Options: path (several parted by commas; ``dataset`` is the number of each), strategy (``file_group``), rows (of a
-    row_block). Conditions on dataset, segment and index leave files and partitions out before anything is read, where
+    row_block), partitions (most of a recording, 512: beyond it, those that follow each other are read in turn by one). Conditions on dataset, segment and index leave files and partitions out before anything is read, where
     ``spark.sql.python.filterPushdown.enabled`` is on.
     """
 
@@ -151,7 +170,7 @@ class Recordings(DataSource):
     def schema(self) -> StructType:
         columns: list[StructField] | None = None
         for root in self.roots():
-            first = next(iter(segments_of(root)), None)
+            first = next(iter(segments_of(root, False)), None)
             if first is None:
                 continue
             system, inner = system_of(root)
@@ -162,12 +181,12 @@ class Recordings(DataSource):
         return StructType([StructField("dataset", IntegerType()), StructField("segment", LongType()), StructField("index", LongType()), *(columns or [])])
 
     def reader(self, schema: StructType) -> RecordingsReader:
-        return RecordingsReader(self.roots(), schema, self.options.get("strategy", "file_group"), int(self.options["rows"]) if "rows" in self.options else None)
+        return RecordingsReader(self.roots(), schema, self.options.get("strategy", "file_group"), int(self.options["rows"]) if "rows" in self.options else None, int(self.options.get("partitions", PARTITIONS)))
 
 
 class RecordingsReader(DataSourceReader):
-    def __init__(self, roots: list[str], schema: StructType, strategy: str, rows: int | None) -> None:
-        self.roots, self.schema, self.strategy, self.rows = roots, schema, strategy, rows
+    def __init__(self, roots: list[str], schema: StructType, strategy: str, rows: int | None, most: int = PARTITIONS) -> None:
+        self.roots, self.schema, self.strategy, self.rows, self.most = roots, schema, strategy, rows, most
         self.lo, self.hi = -(1 << 62), 1 << 62
         self.places: set[int] | None = None
         self.only: dict[str, set[int]] = {}
@@ -195,7 +214,8 @@ class RecordingsReader(DataSourceReader):
         out = []
         for n, root in enumerate(self.roots):
             if "dataset" not in self.only or n in self.only["dataset"]:
-                out += [Stretch(n, p) for p in planned(segments_of(root), self.strategy, self.rows, wanted, self.only.get("segment"))]
+                parts = planned(segments_of(root, self.strategy in ("file_group", "chain")), self.strategy, self.rows, wanted, self.only.get("segment"))
+                out += [Stretch(n, p) for p in in_turn(parts, self.most)]
         return out
 
     def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
@@ -208,10 +228,22 @@ class RecordingsReader(DataSourceReader):
         for _, data, lo, hi in partition.pieces:
             own.setdefault(data, []).append((lo, hi))
         files = {data: Places(ds.dataset(f"{inner}/{data}", filesystem=system, format="parquet"), spans, names) for data, spans in own.items()}  # each file is opened once
+
+        def together(held: list[tuple[int, pa.RecordBatch]]) -> pa.RecordBatch:
+            b, rows = pa.concat_batches([b for _, b in held]), [len(b) for _, b in held]
+            columns = [pa.array(np.full(len(b), partition.dataset, np.int32)), pa.array(np.repeat(np.array([s for s, _ in held], np.int64), rows)), *b.columns]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+        held, rows, size = [], 0, 0
         for segment, data, lo, hi in partition.pieces:
             for b in files[data].between(lo, hi):
-                columns = [pa.array([partition.dataset], pa.int32()).take(pa.array(np.zeros(len(b), np.int64))), pa.array(np.full(len(b), segment, np.int64)), *b.columns]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+                if held and (rows + len(b) > TOGETHER or size + b.nbytes > ROW_GROUP):
+                    yield together(held)
+                    held, rows, size = [], 0, 0
+                held.append((segment, b))
+                rows, size = rows + len(b), size + b.nbytes
+        if held:
+            yield together(held)
 
 
 class Places:

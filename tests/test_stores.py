@@ -56,6 +56,24 @@ def test_a_file_is_read_once_for_all_segments(tmp_path, monkeypatch):
     assert scans.count((0, 190)) == 2 and scans.count((10, 200)) == 1 and len(scans) == 13
 
 
+def test_many_segments_take_a_bounded_number_of_partitions(spark, tmp_path):
+    """Beyond the bound, partitions that follow each other become one, of whole ones and in their order; rows are handed over together."""
+    root = made(tmp_path / "r", [(k, f"data/{'abc'[k % 3]}", {"left": f"l{k // 2}"}) for k in range(600)], rows=3)
+    for strategy, rows in (("segment", None), ("row_block", 2), ("chain", None), ("sequential", None)):
+        source = recordings.Recordings({"path": root, "strategy": strategy} | ({"rows": str(rows)} if rows else {}))
+        reader = source.reader(source.schema())
+        parts, units = reader.partitions(), recordings.planned(recordings.segments_of(root), strategy, rows, [(0, 1800)], None)
+        assert [x for p in parts for x in p.pieces] == [x for u in units for x in u] and len(parts) == min(len(units), recordings.PARTITIONS)
+        firsts = {u[0] for u in units}
+        assert all(p.pieces[0] in firsts for p in parts)
+        got = [[tuple(r.values()) for b in reader.read(p) for r in b.to_pylist()] for p in parts]
+        assert [r for rows in got for r in rows] == [(0, i // 3, i, i * 1.5) for i in range(1800)]
+        assert all(len(list(reader.read(p))) == 1 for p in parts)
+    few = recordings.read_recordings(spark, [root], "segment").sparkSession.read.format("recordings").option("path", root).option("strategy", "segment").option("partitions", 7).load()
+    parts = partitions(few)
+    assert len(parts) == 7 and [i for p in parts for i in p] == list(range(1800)) and all(len(p) % 3 == 0 and len(p) < 300 for p in parts)
+
+
 def test_conditions_reach_the_plan(spark, tmp_path):
     roots = [made(tmp_path / "a", SEGMENTS), made(tmp_path / "b", SEGMENTS[:2])]
     df = recordings.read_recordings(spark, roots, "segment")
