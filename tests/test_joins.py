@@ -122,3 +122,32 @@ def test_ranges_are_cut_as_finely_as_one_column(spark):
     finally:
         joins.checkpointed = plain
     assert blocks[0].select("__l").distinct().count() >= 90
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_theta_sends_the_larger_side_once(spark, monkeypatch, turned):
+    """A small side is held by blocks where the other's rows are, whichever it is; one too large for that is dealt with the other, to the same pairs."""
+    rng = random.Random(5)
+    few, many = [(i, rng.choice([None, *range(50)]), rng.random()) for i in range(150)], [(i, rng.choice([None, *range(50)]), rng.random()) for i in range(1200)]
+    left, right = (many, few) if turned else (few, many)
+    l, r = spark.createDataFrame(left, "i int, x int, u double").repartition(2), spark.createDataFrame(right, "j int, y int, v double").repartition(3)
+    for frame in (l, r):
+        frame.cache().count()  # so that sizes are known
+    conditions = [("x", "<=", "y"), ("u", ">", "v")]
+    want = pairs(left, right, conditions)
+    got = joins.theta_join(l, r, conditions, block=40)
+    assert sorted((a["i"], a["j"]) for a in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and "SortMergeJoin" not in plan and "RoundRobinPartitioning" in plan and "hashpartitioning" not in plan.split("AdaptiveSparkPlan")[-1]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    got = joins.theta_join(l, r, conditions, block=40)
+    assert sorted((a["i"], a["j"]) for a in got.collect()) == want and "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    for frame in (l, r):
+        frame.unpersist()
+
+
+@pytest.mark.parametrize("cuts", [[], [1.0], [1.0, 2.5, 2.75], [float(i) for i in range(37)]])
+def test_stretches_by_halving(spark, cuts):
+    values = [-1.0, 0.0, 0.5, 1.0, 2.5, 2.6, 35.9, 36.0, 99.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", joins.stretch(F.col("v"), cuts).alias("n")).collect()
+    assert [(r["v"], r["n"]) for r in rows] == [(v, sum(v >= q for q in cuts)) for v in values]
